@@ -6,13 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bottomk, fmindex, lookalike, packing, raking, simhash
+from . import bottomk, fmindex, lookalike, packing, raking, simhash, subjects, vptree
 
 
 def _reader(spark: SparkSession, sf_dir: str) -> Callable[[str], DataFrame]:
     return lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vptree.nearest(_reader(spark, sf_dir)("train_vectors"), least=0.85)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vptree.similar_pairs(p1_neighbours(spark, sf_dir))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = _reader(spark, sf_dir)
     return simhash.cross_split_overlaps(read("source_rows"), words=3, threshold=0.75).select("eval_id", "train_id")
@@ -70,5 +78,18 @@ def p7_removal_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fmindex.removal_spans(fmindex.leaked_spans(read("documents"), read("eval_items")))
 
 
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = _reader(spark, sf_dir)
+    return subjects.subject_shares(read("documents"), read("doc_labels"), read("subject_areas"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_shares(spark, sf_dir).where("share >= 0.2").select("doc_id", "subject")
+
+
+def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.composition(_reader(spark, sf_dir)("documents"), p8_shares(spark, sf_dir).where("share >= 0.2"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit()}

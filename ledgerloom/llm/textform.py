@@ -163,16 +163,17 @@ _MARKUP = re.compile(r"<!--.*?-->|</?[A-Za-z][^<>]*>", re.S)
 _WORD = re.compile(r"[^\W_]+")
 
 
-def words(text: str | None) -> list[str]:
-    """Lower-case runs of letters and digits of the text's form, without markup; none for null."""
+def plain(text: str) -> str:
+    """The text's form without markup, its character references decoded."""
     made = form(text)
-    if not made:
-        return []
     if "<" in made:
         made = _MARKUP.sub(" ", made)
-    if "&" in made:
-        made = html.unescape(made)
-    return _WORD.findall(made.lower())
+    return html.unescape(made) if "&" in made else made
+
+
+def words(text: str | None) -> list[str]:
+    """Lower-case runs of letters and digits of the text's form, without markup; none for null."""
+    return _WORD.findall(plain(text).lower()) if text else []
 
 
 class _PieceHashes(dict):
