@@ -66,7 +66,7 @@ def strict_contrasts(results: DataFrame, config: dict[str, list], *, check: bool
         rows = _long(there, metrics).join(F.broadcast(order), factor)
         a = rows.select(*held, "metric", F.col(factor).alias("from_factor_value"), F.col("value").alias("from_metric_value"), F.col("_at").alias("_a"))
         b = rows.select(*held, "metric", F.col(factor).alias("to_factor_value"), F.col("value").alias("to_metric_value"), F.col("_at").alias("_b"))
-        out.append(_finish(a.join(b, [*held, "metric"]).where("_a < _b"), "strict_single_factor", factor, held, 1))
+        out.append(_finish(a.join(b, [*held, "metric"]).where("_a < _b"), "single_factor", factor, held, 1))
     return out
 
 

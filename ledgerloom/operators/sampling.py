@@ -48,7 +48,8 @@ def train_cap(rows: DataFrame, size: int | None) -> DataFrame:
     last = train.select("ordinal", "id").orderBy("ordinal", "id").limit(size).agg(F.max(F.struct("ordinal", "id")).alias("last"), F.count("*").alias("n")).first()
     if last["n"] < size:
         raise ValueError(f"{size} training rows are asked for; there are {last['n']}")
-    return train.where(F.struct("ordinal", "id") <= F.struct(F.lit(last["last"][0]), F.lit(last["last"][1])))
+    at, name = last["last"]
+    return train.where((F.col("ordinal") < at) | ((F.col("ordinal") == at) & (F.col("id") <= name)))
 
 
 def pool_filter(train: DataFrame, professions: tuple[str, ...]) -> str:
