@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import rate
-from ..schema import PROFESSIONS
-from .sampling import cells
+from ..schema import GENDERS, PROFESSIONS
 
 
 def composition_counts(rows: DataFrame, splits: tuple[str, ...] = ("train", "validation", "test"), professions=PROFESSIONS) -> DataFrame:
     """Rows of every cell of every split, zeros kept, with their shares and the gaps between shares."""
     spark = rows.sparkSession
-    spine = spark.createDataFrame([(s,) for s in splits], "split string").crossJoin(cells(spark, professions)).select("split", "profession", "gender")
+    spine = spark.createDataFrame(list(product(splits, professions, GENDERS)), "split string, profession string, gender string")
     n = rows.groupBy("split", "profession", "gender").agg(F.count("*").alias("count"))
     full = F.broadcast(spine).join(n, ["split", "profession", "gender"], "left").fillna(0, "count")
     over = lambda *keys: F.sum("count").over(Window.partitionBy(*keys))

@@ -6,6 +6,7 @@ groups and labels allow.  Undefined rates are null."""
 from __future__ import annotations
 
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,8 +55,7 @@ def label_spine(cells: DataFrame, labels: list[str]) -> DataFrame:
 
 def confusion_matrix(cells: DataFrame, labels: list[str], condition: list[str] = CONDITION) -> DataFrame:
     """Rows of every true and predicted label of every condition, zeros kept."""
-    names = label_spine(cells, labels).select("target_label")
-    grid = names.withColumnRenamed("target_label", "true_label").crossJoin(names.withColumnRenamed("target_label", "predicted_label"))
+    grid = cells.sparkSession.createDataFrame(list(product(labels, labels)), "true_label string, predicted_label string")
     n = cells.groupBy(*condition, "true_label", "predicted_label").agg(F.sum("n").alias("count"))
     spine = cells.select(*condition).distinct().join(F.broadcast(grid))
     return spine.join(n, [*condition, "true_label", "predicted_label"], "left").fillna(0, "count")

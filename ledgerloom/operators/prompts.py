@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import product
 from string import Formatter
 from typing import Protocol
 
@@ -28,18 +29,15 @@ def check_template(template: str) -> None:
 
 def condition_grid(spark, models: list[str], methods: list[str], encoders: list[str], counts: list[int], orders: list[str], prompts: dict[str, str]) -> DataFrame:
     """Every combination in configured order; a count of 0 stands once for each model and prompt."""
-    one = lambda name, values, kind="string": spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"_{name} int, {name} {kind}")
-    templates = spark.createDataFrame([(i, *x) for i, x in enumerate(prompts.items())], "_prompt_name int, prompt_name string, master_prompt string")
-    few = one("retrieval_method", methods).crossJoin(one("embedding_model", encoders)).crossJoin(one("example_count", [c for c in counts if c > 0], "int")).crossJoin(one("example_order", orders))
+    few = [x for x in product(methods, encoders, [c for c in counts if c > 0], orders)]
     if 0 in counts:
-        zero = spark.createDataFrame([(-1, NOT_APPLICABLE, -1, NOT_APPLICABLE, -1, 0, -1, NOT_APPLICABLE)], few.schema)
-        few = zero.unionByName(few)
-    grid = one("language_model", models).crossJoin(few).crossJoin(templates)
-    name = F.concat_ws("|", "language_model", "prompt_name", "retrieval_method", F.col("example_count").cast("string"), "example_order")
-    several = len(encoders) > 1
-    name = F.concat_ws("|", name, "embedding_model") if several else name
-    ordered = grid.withColumn("condition", name).orderBy("_language_model", "_retrieval_method", "_embedding_model", "_example_count", "_example_order", "_prompt_name")
-    return ordered.select(*(c.split()[0] for c in CONDITIONS.split(", ")))
+        few.insert(0, (NOT_APPLICABLE, NOT_APPLICABLE, 0, NOT_APPLICABLE))
+    rows = []
+    for model, (method, encoder, count, order), (prompt, template) in product(models, few, prompts.items()):
+        name = [model, prompt, method, str(count), order, *([encoder] if len(encoders) > 1 else [])]
+        rows.append(("|".join(name), model, method, encoder, count, order, prompt, template))
+    # as many rows as conditions, each of which is a run over all queries
+    return spark.createDataFrame(rows, CONDITIONS)
 
 
 def fill(template: Column, target: str, audit: str, labels: list[str]) -> Column:

@@ -151,7 +151,12 @@ WHERE (condition, evaluation_split) IN (SELECT (condition, evaluation_split) FRO
 _FACTORS = ["language_model", "prompt_name", "retrieval_method", "embedding_model", "example_count", "example_order"]
 _CONTEXT = ["evaluation_split", "target", "audit_column", "prediction_method"]
 _METRICS = ["accuracy", "macro_precision", "macro_recall", "macro_f1", "weighted_precision", "weighted_f1", "matthews_correlation_coefficient", "cohen_kappa", "worst_audit_group_accuracy", "audit_group_accuracy_difference", *(f"{a}_{x}" for x in FAIRNESS for a in ("mean", "min", "max"))]
-_LONG = f"""long AS (UNPIVOT (SELECT {", ".join(_CONTEXT + _FACTORS)}, {", ".join(f"{m}::DOUBLE AS {m}" for m in _METRICS)} FROM res) INCLUDE NULLS ON {", ".join(_METRICS)} INTO NAME metric VALUE value)"""
+_LONG = f"""long AS (SELECT * FROM (SELECT {", ".join(_CONTEXT + _FACTORS)}, {", ".join(f"{m}::DOUBLE AS {m}" for m in _METRICS)} FROM res) UNPIVOT INCLUDE NULLS (value FOR metric IN ({", ".join(_METRICS)})))"""
+
+
+def _zero(x: str) -> str:
+    """Rounded, without a sign on 0."""
+    return f"CASE WHEN abs({x}) < 5e-11 THEN 0.0 ELSE round({x}, 10) END"
 
 
 def _strict(factor: str) -> str:
@@ -172,14 +177,14 @@ _DETAILS = f"""WITH {_CELLS}, {_FAIR}, {_results(True)}, {_LONG},
 pairs AS ({" UNION ALL BY NAME ".join(_strict(f) for f in _FACTORS)} UNION ALL BY NAME {_ZERO}),
 det AS (SELECT *, CASE WHEN metric LIKE '%\\_difference' ESCAPE '\\' THEN 'minimize' ELSE 'maximize' END AS direction, to_metric_value - from_metric_value AS delta, CASE WHEN metric LIKE '%\\_difference' ESCAPE '\\' THEN -1 ELSE 1 END * (to_metric_value - from_metric_value) AS improvement FROM pairs),
 fin AS (SELECT *, CASE WHEN improvement IS NULL THEN 'undefined' WHEN round(improvement, 10) > 0 THEN 'improved' WHEN round(improvement, 10) < 0 THEN 'worsened' ELSE 'tied' END AS outcome FROM det)"""
-_D = f"contrast_type, factor, from_factor_value, to_factor_value, {', '.join(_CONTEXT)}, language_model, metric, direction, round(from_metric_value, 10) AS from_metric_value, round(to_metric_value, 10) AS to_metric_value, round(delta, 10) AS delta, round(improvement, 10) AS improvement, outcome, from_condition_count, to_condition_count"
+_D = f"contrast_type, factor, from_factor_value, to_factor_value, {', '.join(_CONTEXT)}, language_model, metric, direction, round(from_metric_value, 10) AS from_metric_value, round(to_metric_value, 10) AS to_metric_value, {_zero('delta')} AS delta, {_zero('improvement')} AS improvement, outcome, from_condition_count, to_condition_count"
 DETAILS = f"{_DETAILS} SELECT {_D} FROM fin WHERE contrast_type = 'single_factor'"
 ZERO = f"{_DETAILS} SELECT {_D} FROM fin WHERE contrast_type <> 'single_factor'"
 
 
 def _summary(scope: str, model: str, where: str, extra: str) -> str:
     return f"""SELECT contrast_type, '{scope}' AS aggregation_scope, {model} AS scope_language_model, factor, from_factor_value, to_factor_value, metric, direction, count(*) AS n_total_pairs, count(delta) AS n_defined_pairs,
-    round(avg(from_metric_value) FILTER (delta IS NOT NULL), 10) AS mean_from_metric_value, round(avg(to_metric_value) FILTER (delta IS NOT NULL), 10) AS mean_to_metric_value, round(avg(delta), 10) AS mean_delta, round(stddev_samp(delta), 10) AS std_delta,
+    round(avg(from_metric_value) FILTER (delta IS NOT NULL), 10) AS mean_from_metric_value, round(avg(to_metric_value) FILTER (delta IS NOT NULL), 10) AS mean_to_metric_value, {_zero('avg(delta)')} AS mean_delta, round(stddev_samp(delta), 10) AS std_delta,
     count(*) FILTER (outcome = 'improved') AS n_improved, count(*) FILTER (outcome = 'tied') AS n_tied, count(*) FILTER (outcome = 'worsened') AS n_worsened, round(count(*) FILTER (outcome = 'improved') / nullif(count(delta), 0)::DOUBLE, 10) AS improvement_rate
   FROM fin {where} GROUP BY contrast_type, factor, from_factor_value, to_factor_value, metric, direction{extra}"""
 
@@ -194,19 +199,19 @@ s AS (SELECT q.id AS query_id, p.id, p.profession, p.gender, p.train_order, p.te
   FROM usable q JOIN usable p ON p.id <> q.id WHERE q.train_order % 50 = 0)
 """
 _O = "ORDER BY score DESC, text_length DESC, train_order, id"
-SEMANTIC = f"{_SCORED} SELECT query_id, (row_number() OVER (PARTITION BY query_id {_O}))::INT AS pos, id, profession, gender, round(score, 10) AS score FROM s QUALIFY pos <= 8"
+SEMANTIC = f"{_SCORED} SELECT query_id, (row_number() OVER (PARTITION BY query_id {_O}))::INT AS pos, id, profession, gender, round(score, 6) AS score FROM s QUALIFY pos <= 8"
 # with four rows and more professions than rows: a new profession each time; the second and the fourth row take the gender picked less
 BALANCED = f"""{_SCORED},
 a AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id {_O}) = 1),
 b AS (SELECT s.* FROM s JOIN a USING (query_id) WHERE s.profession <> a.profession AND s.gender <> a.gender QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s.score DESC, s.text_length DESC, s.train_order, s.id) = 1),
 c AS (SELECT s.* FROM s JOIN a USING (query_id) JOIN b USING (query_id) WHERE s.profession NOT IN (a.profession, b.profession) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s.score DESC, s.text_length DESC, s.train_order, s.id) = 1),
 d AS (SELECT s.* FROM s JOIN a USING (query_id) JOIN b USING (query_id) JOIN c USING (query_id) WHERE s.profession NOT IN (a.profession, b.profession, c.profession) AND s.gender <> c.gender QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s.score DESC, s.text_length DESC, s.train_order, s.id) = 1)
-SELECT query_id, pos, id, profession, gender, round(score, 10) AS score FROM (SELECT 1 AS pos, * FROM a UNION ALL SELECT 2, * FROM b UNION ALL SELECT 3, * FROM c UNION ALL SELECT 4, * FROM d)
+SELECT query_id, pos, id, profession, gender, round(score, 6) AS score FROM (SELECT 1 AS pos, * FROM a UNION ALL SELECT 2, * FROM b UNION ALL SELECT 3, * FROM c UNION ALL SELECT 4, * FROM d)
 """
 
 VECTOR_PROBLEMS = f"""
-WITH {_ROWS}, shaped AS (SELECT *, vector IS NOT NULL AND len(vector) = 64 AS shaped, len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AS finite, len(list_filter(vector, lambda x: x <> 0)) > 0 AS some FROM train_vectors),
-a AS (SELECT count(*) AS vector_rows, count(*) FILTER (vector IS NULL) AS null_vectors, count(*) FILTER (vector IS NOT NULL AND len(vector) <> 64) AS wrong_length, count(*) FILTER (shaped AND NOT finite) AS not_finite, count(*) FILTER (shaped AND finite AND NOT some) AS zero_vectors FROM shaped),
+WITH {_ROWS}, shaped AS (SELECT *, vector IS NOT NULL AND len(vector) = 64 AS shaped, len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AS finite, len(list_filter(vector, lambda x: x <> 0)) > 0 AS nonzero FROM train_vectors),
+a AS (SELECT count(*) AS vector_rows, count(*) FILTER (vector IS NULL) AS null_vectors, count(*) FILTER (vector IS NOT NULL AND len(vector) <> 64) AS wrong_length, count(*) FILTER (shaped AND NOT finite) AS not_finite, count(*) FILTER (shaped AND finite AND NOT nonzero) AS zero_vectors FROM shaped),
 ids AS (SELECT id, count(*) AS n, max(profession) AS profession, max(gender) AS gender, max(train_order) AS train_order FROM train_vectors GROUP BY id), tr AS (SELECT * FROM one WHERE split = 'train'),
 b AS (SELECT count(*) FILTER (n > 1) AS repeated_ids, count(*) FILTER (tr.id IS NULL) AS without_row, count(*) FILTER (ids.id IS NULL) AS rows_without_vector,
     count(*) FILTER (ids.id IS NOT NULL AND tr.id IS NOT NULL AND (ids.profession IS DISTINCT FROM tr.profession OR ids.gender IS DISTINCT FROM tr.gender OR ids.train_order IS DISTINCT FROM tr.train_order)) AS labels_differ FROM ids FULL JOIN tr ON ids.id = tr.id)
@@ -216,19 +221,19 @@ SELECT * FROM a, b
 _SHUFFLE = "[" + ", ".join(str(i + 1) for i in permutation(42, 4)) + "]"
 ORDERED = f"""
 WITH s AS (SELECT DISTINCT retrieval_method, embedding_model, query_id, pos, id, retrieval_score FROM retrieval_selections WHERE pos <= 4),
-f AS (SELECT *, count(*) OVER w AS n, row_number() OVER (PARTITION BY retrieval_method, embedding_model, query_id ORDER BY pos, id, retrieval_score) AS at FROM s WINDOW w AS (PARTITION BY retrieval_method, embedding_model, query_id))
+f AS (SELECT *, count(*) OVER w AS n, row_number() OVER (PARTITION BY retrieval_method, embedding_model, query_id ORDER BY pos, id, retrieval_score) AS place_ FROM s WINDOW w AS (PARTITION BY retrieval_method, embedding_model, query_id))
 SELECT retrieval_method, query_id, 'most_similar_first' AS example_order, (row_number() OVER (PARTITION BY retrieval_method, embedding_model, query_id ORDER BY retrieval_score DESC NULLS LAST, pos, id) - 1)::INT AS place, id FROM f WHERE n = 4
 UNION ALL SELECT retrieval_method, query_id, 'most_similar_last', (row_number() OVER (PARTITION BY retrieval_method, embedding_model, query_id ORDER BY retrieval_score NULLS LAST, pos, id) - 1)::INT, id FROM f WHERE n = 4
-UNION ALL SELECT retrieval_method, query_id, 'shuffle', (list_position({_SHUFFLE}, at) - 1)::INT, id FROM f WHERE n = 4
+UNION ALL SELECT retrieval_method, query_id, 'shuffle', (list_position({_SHUFFLE}, place_) - 1)::INT, id FROM f WHERE n = 4
 """
 
 HYDRATED = f"WITH {_ROWS} SELECT r.*, one.hard_text FROM retrieval_selections r JOIN one USING (id)"
 
 PROMPT = f"""
 WITH {_ROWS}, e AS (SELECT DISTINCT retrieval_method, query_id, pos, id, profession, gender FROM retrieval_selections WHERE profession IS NOT NULL AND gender IS NOT NULL),
-x AS (SELECT e.*, one.hard_text, row_number() OVER (PARTITION BY retrieval_method, query_id ORDER BY pos, id, one.hard_text) AS at FROM e JOIN one USING (id) WHERE one.hard_text IS NOT NULL),
-t AS (SELECT c.condition, c.master_prompt, x.query_id, count(*) AS n, string_agg('user: Biography: ' || x.hard_text || chr(10) || 'Gender: ' || x.gender || chr(10) || chr(10) || 'assistant: ' || x.profession, chr(10) || chr(10) ORDER BY at) AS shown
-  FROM x JOIN conditions c ON c.retrieval_method = x.retrieval_method AND c.example_count > 0 AND x.at <= c.example_count GROUP BY ALL)
+x AS (SELECT e.*, one.hard_text, row_number() OVER (PARTITION BY retrieval_method, query_id ORDER BY pos, id, one.hard_text) AS place_ FROM e JOIN one USING (id) WHERE one.hard_text IS NOT NULL),
+t AS (SELECT c.condition, c.master_prompt, x.query_id, count(*) AS n, string_agg('user: Biography: ' || x.hard_text || chr(10) || 'Gender: ' || x.gender || chr(10) || chr(10) || 'assistant: ' || x.profession, chr(10) || chr(10) ORDER BY place_) AS shown
+  FROM x JOIN conditions c ON c.retrieval_method = x.retrieval_method AND c.example_count > 0 AND x.place_ <= c.example_count GROUP BY ALL)
 SELECT t.condition, t.query_id, (2 + 2 * n)::INT AS messages, sha256('system: ' || replace(replace(replace(master_prompt, '{{target}}', 'profession'), '{{audit_column}}', 'gender'), '{{labels}}', '{", ".join(PROFESSIONS)}')
   || chr(10) || chr(10) || shown || chr(10) || chr(10) || 'user: Biography: ' || one.hard_text || chr(10) || 'Gender: ' || one.gender) AS prompt_sha256
 FROM t JOIN one ON one.id = t.query_id WHERE one.hard_text IS NOT NULL AND one.gender IS NOT NULL

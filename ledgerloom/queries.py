@@ -20,7 +20,7 @@ SEED = 42
 
 
 def _rounded(df: DataFrame) -> DataFrame:
-    return df.withColumns({c: F.round(c, 10) for c, kind in df.dtypes if kind == "double"})
+    return df.withColumns({c: F.when(F.abs(c) < 5e-11, 0.0).otherwise(F.round(c, 10)) for c, kind in df.dtypes if kind == "double"})
 
 
 def _rows(spark: SparkSession, d: str) -> DataFrame:
@@ -151,12 +151,12 @@ def _queries(pool: DataFrame) -> DataFrame:
 
 def semantic_topk(spark, d):
     pool = _pool(spark, d).where("profession is not null and gender is not null")
-    return _rounded(retrieval.semantic_topk(pool, _queries(pool), 8))
+    return retrieval.semantic_topk(pool, _queries(pool), 8).withColumn("score", F.round("score", 6))
 
 
 def balanced_topk(spark, d):
     pool = _pool(spark, d).where("profession is not null and gender is not null")
-    return _rounded(retrieval.balanced_topk(pool, _queries(pool), 4))
+    return retrieval.balanced_topk(pool, _queries(pool), 4).withColumn("score", F.round("score", 6))
 
 
 def vector_problems(spark, d):
