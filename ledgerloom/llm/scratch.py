@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
@@ -44,3 +45,12 @@ def drop(df: DataFrame) -> None:
     for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
         if "/ledgerloom/" in path:
             _remove(df.sparkSession, path)
+
+
+def hash_sample(rows: DataFrame, key: str, n: int, size: int) -> DataFrame:
+    """The rows (of n) with about the `size` smallest hashes of a key, at most size.
+
+    A bound on the hash leaves half as many again before they are ordered, so that no task gets a share of every partition."""
+    h = F.pmod(F.xxhash64(key), F.lit(1 << 30))
+    bound = (1 << 30) if n <= size else int((1 << 30) * min(1.0, 1.5 * size / n))
+    return rows.where(h < bound).orderBy(h, key).limit(size)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import stored
+from .scratch import hash_sample, stored
 
 
 def _distance(dots: np.ndarray) -> np.ndarray:
@@ -189,7 +189,7 @@ def nearest(vectors: DataFrame, id_col: str = "id", vector_col: str = "vector",
     reps = stored(rows.join(groups.select("rep"), rows["id"] == groups["rep"], "left_semi").select("id", "vector"), "distinct")
     n = reps.count()
     depth = max(0, math.ceil(math.log2(max(1, n) / shard_rows)))
-    sample = [r[0] for r in reps.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("vector").collect()]
+    sample = [r[0] for r in hash_sample(reps, "id", n, sample_rows).select("vector").collect()]
     router = Router(_unit(np.array(sample, np.float64)), min(depth, max(0, int(math.log2(max(1, len(sample)) / 8)))))
 
     def home(batches):
