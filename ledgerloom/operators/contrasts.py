@@ -14,6 +14,12 @@ SUMMARY = ["contrast_type", "aggregation_scope", "scope_language_model", "factor
 _NO_METRICS = {"example_count", "sample_count", "quality_rank", "fairness_rank"}
 
 
+def pinned(results: DataFrame) -> DataFrame:
+    """results computed once.  They have one row a condition, so they are as many as the configured grid; every contrast
+    reads them again."""
+    return results.sparkSession.createDataFrame(results.collect(), results.schema).coalesce(1)
+
+
 def metric_columns(results: DataFrame) -> list[str]:
     """The numeric columns that are metrics: no sizes, ranks or coverage counts."""
     return [c for c, kind in results.dtypes if kind in ("double", "float", "int", "bigint") and c not in _NO_METRICS and not c.startswith("n_")]
@@ -101,6 +107,7 @@ def _mean_in_order(value: Column, order: list[str]) -> Column:
 
 
 def contrast_details(results: DataFrame, config: dict[str, list], *, check: bool = True) -> DataFrame:
+    results = pinned(results)
     zero = zero_shot_contrasts(results, config, check=check)
     return reduce(DataFrame.unionByName, [*strict_contrasts(results, config, check=check), *([zero] if zero is not None else [])])
 

@@ -112,7 +112,7 @@ def predictions(config: dict, rows: DataFrame, folder: str, encoder: Callable[[d
 
         part = io.checkpointed(spark, io.checkpoint_path(folder, config, model), make)
         out = part if out is None else out.unionByName(part)
-    return out
+    return out.select(*(c.split()[0] for c in io.PREDICTION_CSV.split(", ")))
 
 
 def calculate(config: dict, predicted: DataFrame) -> dict[str, DataFrame]:
@@ -133,12 +133,14 @@ def calculate(config: dict, predicted: DataFrame) -> dict[str, DataFrame]:
 def run_experiment(config: dict, rows: DataFrame, folder: str, encoder: Callable[[dict], Make], predictor: Callable[[str], Make]) -> tuple[str, dict[str, DataFrame]]:
     """Runs all of it, writes every table and both reports to a new folder, and drops the checkpoints of the run."""
     spark, task, d = rows.sparkSession, task_settings(validate(config)), config["defaults"]
-    out = calculate(config, predictions(config, rows, folder, encoder, predictor))
+    path = io.run_folder(f"{folder}/{d['output_dir']}", d["evaluation_split"])
+    # typed predictions stay with the run, as the checkpoints go at its end
+    predictions(config, rows, folder, encoder, predictor).write.parquet(f"{path}/predictions.parquet")
+    out = calculate(config, spark.read.parquet(f"{path}/predictions.parquet"))
     kept = _split_rows(config, rows)
     out["source_counts"] = composition.composition_counts(kept, ("train", d["evaluation_split"]), task.professions)
     train, sample, _ = select_run_data(config, rows)
     out["run_counts"] = composition.composition_counts(train.unionByName(sample.drop("place")), ("train", d["evaluation_split"]), task.professions)
-    path = io.run_folder(f"{folder}/{d['output_dir']}", d["evaluation_split"])
     for name, df in out.items():
         io.write_csv(df, f"{path}/{name}", single=name != "predictions")
     values = {"target": task.target, "audit_column": task.audit_column, "labels": ", ".join(task.labels)}
