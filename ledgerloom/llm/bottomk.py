@@ -23,20 +23,22 @@ SCHEMA = "group_id string, id string"
 
 
 def candidates(sets: DataFrame, threshold: float) -> DataFrame:
-    """(a, b), a < b: pairs of one key that share a retained value and may be `threshold` alike."""
-    held = sets.select("key", "rep", F.size("shingles").alias("n"), F.explode("shingles").alias("v"))
-    shared = held.join(held.groupBy("key", "v").agg(F.count("*").alias("holders")).where("holders > 1"), ["key", "v"])
-    ordered = shared.groupBy("key", "rep", "n").agg(F.array_sort(F.collect_list(F.struct("holders", "v"))).alias("vs"))
+    """(a, b), a < b: numbers of sets that share a retained value and may be `threshold` alike.
+
+    Values are hashed together with the key, so that only whole numbers are shuffled."""
+    held = sets.select("number", "key", F.size("shingles").alias("n"), F.explode("shingles").alias("v")).select("number", "n", F.xxhash64("key", "v").alias("v"))
+    shared = held.join(held.groupBy("v").agg(F.count("*").alias("holders")).where("holders > 1"), "v")
+    ordered = shared.groupBy("number", "n").agg(F.array_sort(F.collect_list(F.struct("holders", "v"))).alias("vs"))
     k = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
     ordered = ordered.withColumn("own", F.col("n") - F.size("vs"))  # values no other set holds come first
-    kept = ordered.select("key", "rep", "n", "own", F.posexplode(F.slice("vs", F.lit(1), F.greatest(k - F.col("own"), F.lit(0)).cast("int"))).alias("i", "x"))
-    posted = stored(kept.select("key", "rep", "n", (F.col("n") - F.col("own") - F.col("i")).alias("rest"), F.col("x.v").alias("v")), "postings")
+    kept = ordered.select("number", "n", "own", F.posexplode(F.slice("vs", F.lit(1), F.greatest(k - F.col("own"), F.lit(0)).cast("int"))).alias("i", "x"))
+    posted = stored(kept.select("number", "n", (F.col("n") - F.col("own") - F.col("i")).alias("rest"), F.col("x.v").alias("v")), "postings")
     a, b = posted.alias("a"), posted.alias("b")
     # at the first value two sets share, no more than what follows it can be shared as well
     enough = F.least("a.rest", "b.rest") * (1 + threshold) >= (F.col("a.n") + F.col("b.n")) * threshold - 1e-6
     sizes = F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n") - 1e-6
-    joined = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.v") == F.col("b.v")) & (F.col("a.rep") < F.col("b.rep")) & enough & sizes)
-    return joined.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()
+    joined = a.join(b, (F.col("a.v") == F.col("b.v")) & (F.col("a.number") < F.col("b.number")) & enough & sizes)
+    return joined.select(F.col("a.number").alias("a"), F.col("b.number").alias("b")).distinct()
 
 
 def union_estimate(a: Column, b: Column, k: int) -> Column:
@@ -47,12 +49,12 @@ def union_estimate(a: Column, b: Column, k: int) -> Column:
 
 
 def linked(sets: DataFrame, threshold: float, k: int) -> DataFrame:
-    """(a, b, likeness) of the pairs of distinct sets of one key that are at least `threshold` alike."""
-    one = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
-    two = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
+    """(a, b, likeness) of the numbers of the pairs of distinct sets of one key that are at least `threshold` alike."""
+    one = sets.select(F.col("number").alias("a"), F.col("key").alias("ka"), F.col("shingles").alias("sa"))
+    two = sets.select(F.col("number").alias("b"), F.col("key").alias("kb"), F.col("shingles").alias("sb"))
     both = candidates(sets, threshold).join(one, "a").join(two, "b")
     least = threshold - 4 * (threshold * (1 - threshold) / k) ** 0.5  # four standard deviations of the estimate
-    near = both.where(union_estimate(F.col("sa"), F.col("sb"), k) >= least)
+    near = both.where((F.col("ka") == F.col("kb")) & (union_estimate(F.col("sa"), F.col("sb"), k) >= least))
     return near.select("a", "b", likeness(F.col("sa"), F.col("sb")).alias("likeness")).where(F.col("likeness") >= threshold)
 
 
@@ -66,9 +68,11 @@ def near_duplicate_groups(rows: DataFrame, id_col: str = "id", text_col: str = "
     one = one_per_id(rows, id_col, {"key": label(F.col(key_col)), "text": F.col(text_col)}, at).where("key is not null")
     docs = stored(with_shingles(one, "text", words), "shingles")
     copies = stored(docs.groupBy("key", "set_key").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "copies")
-    sets = stored(docs.join(copies.select("rep"), docs["id"] == copies["rep"], "left_semi").select("key", F.col("id").alias("rep"), "shingles"), "sets")
-    roots = components(linked(sets, threshold, k))
+    sets = docs.join(copies.select("rep"), docs["id"] == copies["rep"], "left_semi").select("key", F.col("id").alias("rep"), "shingles")
+    sets = stored(sets.withColumn("number", F.monotonically_increasing_id()), "sets")  # written, so the numbers stay
+    roots = components(linked(sets, threshold, k)).join(sets.select(F.col("number").alias("id"), "rep"), "id")
+    named = roots.select("rep", "root").join(roots.groupBy("root").agg(F.min("rep").alias("smallest")), "root").select("rep", "smallest")
     # a set is in a group if it is linked or has copies
-    grouped = copies.join(roots.withColumnRenamed("id", "rep"), "rep", "left").where("root is not null or copies > 1")
-    grouped = grouped.select("key", "set_key", F.coalesce("root", "rep").alias("group_id"))
+    grouped = copies.join(named, "rep", "left").where("smallest is not null or copies > 1")
+    grouped = grouped.select("key", "set_key", F.coalesce("smallest", "rep").alias("group_id"))
     return docs.select("key", "set_key", "id").join(grouped, ["key", "set_key"]).select("group_id", "id")
