@@ -17,7 +17,7 @@ _NO_METRICS = {"example_count", "sample_count", "quality_rank", "fairness_rank"}
 def pinned(results: DataFrame) -> DataFrame:
     """results computed once.  They have one row a condition, so they are as many as the configured grid; every contrast
     reads them again."""
-    return results.sparkSession.createDataFrame(results.collect(), results.schema).coalesce(1)
+    return results.sparkSession.createDataFrame(results.toArrow())
 
 
 def metric_columns(results: DataFrame) -> list[str]:
