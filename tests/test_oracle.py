@@ -3,6 +3,7 @@
 import glob
 import os
 
+import pandas as pd
 import pytest
 
 from ledgerloom import queries as core
@@ -26,7 +27,7 @@ def plain(df):
     out = []
     columns = sorted(df.columns)
     for r in df[columns].itertuples(index=False):
-        out.append(tuple("" if x is None or x != x else repr(float(x)) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)[:19] if "Timestamp" in type(x).__name__ else str(x) for x in r))
+        out.append(tuple("" if pd.isna(x) else repr(float(x)) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)[:19] if "Timestamp" in type(x).__name__ else str(x) for x in r))
     return columns, sorted(out)
 
 
