@@ -1,6 +1,7 @@
 """Every query with SQL gives the rows that DuckDB gives over the same tables."""
 
 import glob
+import numbers
 import os
 
 import pandas as pd
@@ -27,7 +28,7 @@ def plain(df):
     out = []
     columns = sorted(df.columns)
     for r in df[columns].itertuples(index=False):
-        out.append(tuple("" if pd.isna(x) else repr(float(x)) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)[:19] if "Timestamp" in type(x).__name__ else str(x) for x in r))
+        out.append(tuple("" if pd.isna(x) else repr(float(x)) if isinstance(x, numbers.Real) and not isinstance(x, bool) else str(x)[:19] if "Timestamp" in type(x).__name__ else str(x) for x in r))
     return columns, sorted(out)
 
 
