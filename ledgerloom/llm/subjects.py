@@ -1,6 +1,6 @@
 """Subject areas of documents: bisecting k-means over document vectors, leaves labelled by their discriminative terms.
 
-Terms are words that are neither rare nor everywhere.  Documents become normalised tf-idf vectors in which a term weighs
+Terms are words that are not rare; of those in many documents only the ones that hand labels depend on.  Documents become normalised tf-idf vectors in which a term weighs
 by how much the hand labels depend on it; bisecting k-means splits a bounded sample of them into leaves and every document
 goes to its nearest leaf.  Hand labels of the documents of a leaf give its mixture of subjects, and the leaves'
 term counts, weighed by these mixtures, the terms that tell subjects apart.  A sentence is about the subject its
@@ -166,6 +166,13 @@ def informative(counts: np.ndarray, prior: np.ndarray, doubt: float = 5.0) -> np
         return np.nan_to_num(np.where(p > 0, p * np.log(p / prior), 0)).sum(1)
 
 
+def grammar(counts: np.ndarray, prior: np.ndarray, least: float = 0.02) -> np.ndarray:
+    """Which terms the labels say nothing of: informative() is at most `least` more than chance gives so many labels."""
+    free = counts.shape[1] - 1
+    chance = (free + 2 * np.sqrt(2 * free)) / np.maximum(2 * counts.sum(1), 1)
+    return informative(counts, prior) <= least + chance
+
+
 def _sentence_subjects(terms: np.ndarray, doc: np.ndarray, place: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(sentence of each term, document of each sentence, subject of each sentence or the number of subjects for none)."""
     ends = np.flatnonzero(terms == END)
@@ -186,8 +193,9 @@ def subject_shares(docs: DataFrame, labels: DataFrame, areas: DataFrame, doc_col
     are compared trimmed, in lower case, with underscores; those of unknown documents or subjects are left
     out, equal ones of a document count once.  Without labels no leaf has a subject, and there are no rows.
 
-    Terms: words in at least least_share of the documents (and 3 of them) and at most most_share, the most_terms most frequent
-    of these, which bounds all that is sent to the driver and the executors; the rest are names and grammar."""
+    Terms: words in at least least_share of the documents (and 3 of them), the most_terms most frequent of these, which bounds
+    all that is sent to the driver and the executors; the rest are names.  Words in more than most_share of the documents
+    are terms only if labels depend on them, else grammar."""
     spark = docs.sparkSession
     subjects = sorted(r[0] for r in areas.select(label(F.col("subject"))).where("subject is not null").distinct().limit(1000).collect()) if "subject" in areas.columns else []
     k = len(subjects)
@@ -196,7 +204,7 @@ def subject_shares(docs: DataFrame, labels: DataFrame, areas: DataFrame, doc_col
     n = rows.count()
     if not n or not k:
         return empty
-    frequent = _summed(rows, _document_frequency, ["term"]).where((F.col("n") >= max(3, least_share * n)) & (F.col("n") <= most_share * n))
+    frequent = _summed(rows, _document_frequency, ["term"]).where(F.col("n") >= max(3, least_share * n))
     kept = sorted(frequent.orderBy(F.desc("n"), "term").limit(most_terms).collect())
     vocabulary = np.array([r[0] for r in kept], np.int64)
     vectors = Vectors(vocabulary, np.log(n / np.array([r[1] for r in kept], float)) if kept else np.empty(0))
@@ -227,6 +235,10 @@ def subject_shares(docs: DataFrame, labels: DataFrame, areas: DataFrame, doc_col
     by_label = _totals(rows.join(sets, "doc_id"), labelled, (v, k))
     prior = (given.groupBy("number").count().toPandas().set_index("number")["count"].reindex(range(k)).fillna(0) + 1).to_numpy(float)
     prior /= prior.sum()
+    spoken = ~(grammar(by_label, prior) & (np.array([r[1] for r in kept]) > most_share * n))
+    vocabulary, by_label = vocabulary[spoken], by_label[spoken]
+    vectors = Vectors(vocabulary, vectors.idf[spoken])
+    v = len(vocabulary)
     weight = informative(by_label, prior)
     used = np.sort(np.argsort(-weight, kind="stable")[:vector_terms])
     used = used[weight[used] > 1e-9]

@@ -89,6 +89,29 @@ def test_held_out_subjects(spark):
         assert subjects.subject_shares(x, y, z).count() == 0
 
 
+def test_subject_of_a_third(spark):
+    """One subject holds a third of the documents, each of its words over a fifth; with the query's parameters."""
+    rng = random.Random(5)
+    names = ["law", "sport", "music", "food", "film"]
+    words = TOPICS | {"food": ["oven", "recipe", "flour", "butter"], "film": ["camera", "scene", "actor", "studio"]}
+    docs, truth = [], {}
+    for i in range(900):
+        about = ["law"] if i % 3 == 0 else rng.choice([[n] for n in names[1:]] + [[]])
+        sentences = [f"In {rng.randrange(1900, 2000)} they spoke about {rng.choice(words[t])} with Mr{rng.randrange(10**6)}." for t in about for _ in range(rng.randrange(4, 8))]
+        sentences += [f"The page of N{rng.randrange(10**6)} was changed on day {rng.randrange(99)}." for _ in range(rng.randrange(1, 4))]
+        docs.append((i, " ".join(sentences)))
+        truth |= {(i, t): True for t in about}
+    assert all(sum(w in t for _, t in docs) > 0.2 * len(docs) for w in words["law"])
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    l = spark.createDataFrame([(i, t) for i, t in truth if i % 4 < 1], "doc_id long, subject string")
+    a = spark.createDataFrame([(t,) for t in names], "subject string")
+    found = {(r["doc_id"], r["subject"]) for r in subjects.subject_shares(d, l, a).where("share >= 0.2").collect()}
+    for name in names:
+        want = {x for x in truth if x[1] == name}
+        got = {x for x in found if x[1] == name}
+        assert len(got & want) >= 0.97 * len(want) and len(got - want) <= 0.03 * len(want)
+
+
 def test_bisecting():
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.normal(c, 0.05, (40, 4)) for c in np.eye(4)])
