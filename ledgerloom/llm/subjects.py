@@ -1,21 +1,21 @@
 """Subject areas of documents: bisecting k-means over document vectors, leaves labelled by their discriminative terms.
 
 Terms are words that are not rare; of those in many documents only the ones that hand labels depend on.  Documents become normalised tf-idf vectors in which a term weighs
-by how much the hand labels depend on it; bisecting k-means splits a bounded sample of them into leaves and every document
-goes to its nearest leaf.  Hand labels of the documents of a leaf give its mixture of subjects, and the leaves'
-term counts, weighed by these mixtures, the terms that tell subjects apart.  A sentence is about the subject its
+by how much the hand labels depend on it; bisecting k-means splits all of them into leaves, a few leaves at a time, from
+sums by leaf over all documents.  Hand labels of the documents of a leaf give its mixture of subjects, and the leaves'
+term counts, weighed by these mixtures, the terms that tell subjects apart; a subject that no leaf speaks for gets its terms from the labelled documents
+themselves.  A sentence is about the subject its
 discriminative terms speak for most, or about none if it holds none of them.  Further rounds take the term counts of
 sentences instead of documents, which parts the subjects of documents about several.  The share of a subject is
 that of the document's sentences.
 
-Counts of terms, leaves and labels are over all documents.  What is fitted on a bounded sample is only the
-set of centres (sample_docs documents with the smallest hashes).
+Counts of terms, leaves and labels and the leaves themselves are over all documents.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import textform
 from .records import label
-from .scratch import hash_sample, stored
+from .scratch import drop, stored
 
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 END = 0  # ends a sentence in a document's row of terms
@@ -64,6 +64,11 @@ def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(sizes)), sizes)
 
 
+def _lists(owner: np.ndarray, values: np.ndarray, n: int) -> pa.ListArray:
+    """The values of each of n rows, given row after row."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.bincount(owner, minlength=n).cumsum())), pa.int32()), pa.array(values))
+
+
 def _summed(rows: DataFrame, f, names: list[str]) -> DataFrame:
     """Counts by key over all rows: f gives arrays of keys and counts for a batch; the rest is one small shuffle."""
     schema = ", ".join(f"{n} long" for n in [*names, "n"])
@@ -104,39 +109,147 @@ class Vectors:
         return d, t, w / np.maximum(norm[d], 1e-12)
 
 
-def bisecting_kmeans(x: np.ndarray, leaves: int, least: int, rounds: int = 12) -> np.ndarray:
-    """Centres of unit length, by splitting the leaf with the most spread in two until there are enough.
-
-    x: unit vectors (rows of zeros take no part).  Leaves of under 2 * least rows stay whole."""
-    x = x[(x != 0).any(1)]
-    done: list[np.ndarray] = []
-    open_ = [(x, float(len(x) - np.linalg.norm(x.sum(0))) if len(x) else 0.0)]
-    while open_ and len(open_) + len(done) < leaves:
-        at = max(range(len(open_)), key=lambda i: open_[i][1])
-        part, spread = open_.pop(at)
-        if len(part) < 2 * least or spread < 1e-9:
-            done.append(part)
-            continue
-        mean = part.sum(0)
-        mean /= np.linalg.norm(mean) or 1
-        a = part[int((part @ mean).argmin())]  # the two start far apart
-        b = part[int((part @ a).argmin())]
-        for _ in range(rounds):
-            left = part @ a >= part @ b
-            if left.all() or not left.any():
-                break
-            a, b = part[left].sum(0), part[~left].sum(0)
-            a, b = a / (np.linalg.norm(a) or 1), b / (np.linalg.norm(b) or 1)
-        left = part @ a >= part @ b
-        if left.all() or not left.any():
-            done.append(part)
-            continue
-        open_ += [(p, float(len(p) - np.linalg.norm(p.sum(0)))) for p in (part[left], part[~left])]
-    parts = [p for p in done if len(p)] + [p for p, _ in open_ if len(p)]
-    if not parts:
-        return np.empty((0, x.shape[1] if x.ndim == 2 else 0), np.float32)
-    centres = np.stack([p.sum(0) for p in parts])
-    return (centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+class Tree:
+    """Splits of unit vectors in two: a row goes left if its product with a node's direction is at least the node's offset."""
+
+    def __init__(self, width: int) -> None:
+        self.direction, self.offset = np.zeros((0, width), np.float32), np.zeros(0)
+        self.split, self.child = np.array([-1]), np.array([[-1, -1]])  # of each node its row of direction (-1: a leaf), left and right
+
+    def cut(self, node: int) -> None:
+        self.split[node] = len(self.offset)
+        self.child[node] = len(self.split), len(self.split) + 1
+        self.direction = np.concatenate((self.direction, np.zeros((1, self.direction.shape[1]), np.float32)))
+        self.offset = np.append(self.offset, 0.0)
+        self.split, self.child = np.append(self.split, [-1, -1]), np.concatenate((self.child, np.full((2, 2), -1)))
+
+    def leaf_of(self, d: np.ndarray, t: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
+        """The leaf of each of n rows, given as entries (row, place, weight); -1 for rows without any."""
+        node = np.where(np.bincount(d, minlength=n) > 0, 0, -1)
+        while True:
+            at = np.where(node >= 0, self.split[node], -1)
+            inner = at[d] >= 0
+            if not inner.any():
+                return node
+            d, t, w = d[inner], t[inner], w[inner]
+            score = np.bincount(d, w * self.direction[at[d], t], n)
+            node = np.where(at >= 0, self.child[node, (score < self.offset[at]).astype(int)], node)
+
+    def sums(self, d: np.ndarray, t: np.ndarray, w: np.ndarray, n: int, nodes: np.ndarray) -> np.ndarray:
+        """Of each given leaf the number of its rows, the sum of them and the sum of their squares, in one row."""
+        width = self.direction.shape[1]
+        number = np.full(len(self.split) + 1, -1)
+        number[nodes] = np.arange(len(nodes))
+        at = number[self.leaf_of(d, t, w, n)]
+        inner = at[d] >= 0
+        d, t, w = d[inner], t[inner], w[inner]
+        key, size = at[d] * width + t, len(nodes) * width
+        parts = [np.bincount(key, x, size).reshape(len(nodes), width) for x in (w, w * w)]
+        return np.concatenate([np.bincount(at[at >= 0], minlength=len(nodes))[:, None], *parts], 1)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
+
+
+def grow(total: Callable[[Tree, np.ndarray], np.ndarray], width: int, leaves: int, least: int, rounds: int = 3) -> tuple[Tree, np.ndarray, np.ndarray]:
+    """(tree, its leaves, their centres), by splitting the leaves with the most spread in two until there are enough.
+
+    total: Tree.sums over all rows.  Leaves of a quarter of the largest spread or more are split together.  A split starts from
+    the term that varies most in the leaf; leaves of under 2 * least rows stay whole."""
+    tree = Tree(width)
+    sums = {0: total(tree, np.array([0]))[0]}
+    whole: set[int] = set()
+
+    def spread(node: int) -> float:
+        return float(sums[node][0] - np.linalg.norm(sums[node][1 : 1 + width]))
+
+    while True:
+        open_ = sorted((i for i in sums if i not in whole and sums[i][0] >= max(2, 2 * least) and spread(i) >= 1e-6 * sums[i][0]), key=lambda i: (-spread(i), i))
+        chosen = [i for i in open_ if spread(i) >= 0.25 * spread(open_[0])][: max(0, leaves - len(sums))]
+        if not chosen:
+            break
+        for i in chosen:
+            mean, square = sums[i][1 : 1 + width] / sums[i][0], sums[i][1 + width :] / sums[i][0]
+            most = int((square - mean * mean).argmax())
+            tree.cut(i)
+            tree.direction[-1, most], tree.offset[-1] = 1, mean[most]
+        halves = tree.child[chosen].ravel()
+        for at in range(rounds):
+            got = total(tree, halves)
+            if at + 1 < rounds:
+                for i, a, b in zip(chosen, got[::2], got[1::2]):
+                    if a[0] and b[0]:
+                        tree.direction[tree.split[i]] = _unit(a[1 : 1 + width]) - _unit(b[1 : 1 + width])
+                        tree.offset[tree.split[i]] = 0
+        for i, a, b in zip(chosen, got[::2], got[1::2]):
+            for half, x in zip(tree.child[i], (a, b)):
+                if x[0]:
+                    sums[int(half)] = x
+            if not (a[0] and b[0]):
+                whole.update(map(int, tree.child[i]))
+            del sums[i]
+    found = np.array(sorted(i for i in sums if sums[i][0] > 0), int)
+    centres = np.stack([sums[i][1 : 1 + width] for i in found]) if len(found) else np.empty((0, width))
+    return tree, found, _unit(centres).astype(np.float32)
+
+
+def bisecting_kmeans(x: np.ndarray, leaves: int, least: int, rounds: int = 3) -> np.ndarray:
+    """Centres of unit length of the rows of x, unit vectors (rows of zeros take no part)."""
+    d, t = np.nonzero(x)
+    return grow(lambda tree, nodes: tree.sums(d, t, x[d, t], len(x), nodes), x.shape[1], leaves, least, rounds)[2]
+
+
+def _entries(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(row, place, weight) of the entries of a batch's vectors, and the number of rows."""
+    sizes = batch.column("at").value_lengths().to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(batch.num_rows), sizes), batch.column("at").flatten().to_numpy(), batch.column("w").flatten().to_numpy(), batch.num_rows
+
+
+def _totaller(points: DataFrame) -> Callable[[Tree, np.ndarray], np.ndarray]:
+    """Tree.sums over all rows of a table of vectors (at, w); few tasks, each of which sends one row a leaf."""
+    context = points.sparkSession.sparkContext
+    few = points.select("at", "w").coalesce(4 * context.defaultParallelism)
+
+    def total(tree: Tree, nodes: np.ndarray) -> np.ndarray:
+        sent = context.broadcast((tree, nodes))
+        columns = 1 + 2 * tree.direction.shape[1]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tree, nodes = sent.value
+            out = np.zeros((len(nodes), columns))
+            for batch in batches:
+                out += tree.sums(*_entries(batch), nodes)
+            yield rows(np.flatnonzero(out[:, 0]), out)
+
+        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for i, x in zip(batch.column("leaf").to_pylist(), batch.column("x").to_pylist()):
+                    out[i] = out.get(i, 0) + np.frombuffer(x)
+            yield rows(np.array(sorted(out), int), out)
+
+        def rows(held: np.ndarray, out) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array([out[i].tobytes() for i in held], pa.binary())], ["leaf", "x"])
+
+        schema = "leaf long, x binary"
+        summed = few.mapInArrow(run, schema).repartition(min(len(nodes), context.defaultParallelism), "leaf").mapInArrow(merge, schema)
+        out = np.zeros((len(nodes), columns))
+        for i, x in summed.collect():  # at most two rows a leaf that is split
+            out[i] = np.frombuffer(x)
+        sent.destroy()
+        return out
+
+    return total
+
+
+def named_by_hand(weights: np.ndarray, by_label: np.ndarray, concentration: float, evidence: float) -> np.ndarray:
+    """weights, and for each subject without any those that its labelled documents give.
+
+    by_label: (terms x subjects) how many labelled documents of each subject hold the term."""
+    lost = weights.max(0, initial=0) <= 0
+    hand = discriminative(np.column_stack((by_label, np.zeros(len(by_label)))), concentration, evidence) * lost
+    return np.where(hand.max(1, keepdims=True) > 0, hand, weights)
 
 
 def discriminative(counts: np.ndarray, concentration: float, evidence: float) -> np.ndarray:
@@ -185,7 +298,7 @@ def _sentence_subjects(terms: np.ndarray, doc: np.ndarray, place: np.ndarray, we
     return sentence, doc[ends], np.where(score.max(1) > 0, score.argmax(1), k)
 
 
-def subject_shares(docs: DataFrame, labels: DataFrame, areas: DataFrame, doc_col: str = "doc_id", text_col: str = "text", *, leaves: int = 96, sample_docs: int = 8000, least_share: float = 0.0003, most_share: float = 0.2, most_terms: int = 8000, vector_terms: int = 3000, concentration: float = 0.5, evidence: float = 3.0, rounds: int = 2) -> DataFrame:
+def subject_shares(docs: DataFrame, labels: DataFrame, areas: DataFrame, doc_col: str = "doc_id", text_col: str = "text", *, leaves: int = 96, least_share: float = 0.0003, most_share: float = 0.2, most_terms: int = 8000, vector_terms: int = 3000, concentration: float = 0.5, evidence: float = 3.0, rounds: int = 2) -> DataFrame:
     """(doc_id, subject, sentences, share): for each document the subjects that any of its sentences is about.
 
     sentences is how many are, share what part of all its sentences.  A document with a null id, a null text or no word
@@ -229,14 +342,14 @@ def subject_shares(docs: DataFrame, labels: DataFrame, areas: DataFrame, doc_col
         numbers = batch.column("numbers")
         owner = np.repeat(np.arange(batch.num_rows), numbers.value_lengths().to_numpy(zero_copy_only=False))
         has[owner, numbers.flatten().to_numpy()] = 1
-        has /= np.maximum(has.sum(1, keepdims=True), 1)
-        return np.stack([np.bincount(t, has[d, i], len(words.value)) for i in range(k)], 1)
+        part = has / np.maximum(has.sum(1, keepdims=True), 1)
+        return np.stack([np.stack([np.bincount(t, x[d, i], len(words.value)) for i in range(k)], 1) for x in (part, has)])
 
-    by_label = _totals(rows.join(sets, "doc_id"), labelled, (v, k))
+    by_label, by_hand = _totals(rows.join(sets, "doc_id"), labelled, (2, v, k))
     prior = (given.groupBy("number").count().toPandas().set_index("number")["count"].reindex(range(k)).fillna(0) + 1).to_numpy(float)
     prior /= prior.sum()
     spoken = ~(grammar(by_label, prior) & (np.array([r[1] for r in kept]) > most_share * n))
-    vocabulary, by_label = vocabulary[spoken], by_label[spoken]
+    vocabulary, by_label, by_hand = vocabulary[spoken], by_label[spoken], by_hand[spoken]
     vectors = Vectors(vocabulary, vectors.idf[spoken])
     v = len(vocabulary)
     weight = informative(by_label, prior)
@@ -244,45 +357,55 @@ def subject_shares(docs: DataFrame, labels: DataFrame, areas: DataFrame, doc_col
     used = used[weight[used] > 1e-9]
     vectors = Vectors(vocabulary[used], vectors.idf[used] * weight[used])
 
-    # centres, on a sample of bounded size
-    picked = hash_sample(rows, "doc_id", n, sample_docs).select("doc_id", "terms").toArrow().combine_chunks()
-    sample = pa.RecordBatch.from_arrays([c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in picked.columns], names=picked.column_names)
-    terms, doc = _flat(sample)
-    d, t, w = vectors.of(terms, doc, sample.num_rows)
-    x = np.zeros((sample.num_rows, len(used)), np.float32)
-    x[d, t] = w
-    centres = bisecting_kmeans(x, leaves, 8)
-    del x
-    m = len(centres)
+    # from here on the documents as places in the vocabulary, without other words, and as vectors
+    sent = spark.sparkContext.broadcast((vocabulary, vectors, used))
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, vectors, used = sent.value
+        every = Vectors(vocabulary, vocabulary)
+        own = np.full(len(vocabulary), -1)
+        own[used] = np.arange(len(used))
+        for batch in batches:
+            terms, doc = _flat(batch)
+            n, place = batch.num_rows, every.places(terms)
+            keep = (place >= 0) | (terms == END)
+            both, count = np.unique(doc[place >= 0] * np.int64(len(vocabulary)) + place[place >= 0], return_counts=True)
+            d, t = both // len(vocabulary), own[both % len(vocabulary)]
+            d, t, count = d[t >= 0], t[t >= 0], count[t >= 0]
+            w = (1 + np.log(count)) * vectors.idf[t]
+            w /= np.maximum(np.sqrt(np.bincount(d, w * w, n)), 1e-12)[d]
+            lists = [_lists(doc[keep], np.where(terms[keep] == END, END, place[keep] + 1).astype(np.int32), n), _lists(d, t.astype(np.int32), n), _lists(d, w.astype(np.float32), n)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *lists], ["doc_id", "terms", "at", "w"])
+
+    coded = stored(rows.mapInArrow(code, "doc_id long, terms array<int>, at array<int>, w array<float>"), "vectors")
+    drop(rows)
+    rows = coded.select("doc_id", "terms")
+
+    tree, places, _ = grow(_totaller(coded), len(used), leaves, 8)
+    m = len(places)
     if not m:
         return empty
-    sent = spark.sparkContext.broadcast((vocabulary, vectors.vocabulary, vectors.idf, np.ascontiguousarray(centres.T)))
+    number_of = np.full(len(tree.split) + 1, -1)  # the last is for documents without a term
+    number_of[places] = np.arange(m)
+    grown = spark.sparkContext.broadcast((tree, number_of))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows (leaf, term, -1, n) and (leaf, -1, document, 1), so that the documents are read once."""
-        vocabulary, own, idf, columns = sent.value
-        held = np.zeros((columns.shape[1], len(vocabulary)))
+        tree, number_of = grown.value
+        held = np.zeros((m, v))
         for batch in batches:
-            terms, doc = _flat(batch)
             n = batch.num_rows
-            d, t, w = Vectors(own, idf).of(terms, doc, n)
-            score = np.zeros((n, columns.shape[1]), np.float32)
-            for at in range(0, n, 256):  # dense parts of bounded size
-                low, high = np.searchsorted(d, [at, at + 256])
-                part = np.zeros((min(256, n - at), len(own)), np.float32)
-                part[d[low:high] - at, t[low:high]] = w[low:high]
-                score[at : at + 256] = part @ columns
-            leaf = np.where(score.max(1) > 0, score.argmax(1), -1)
-            place = Vectors(vocabulary, vocabulary).places(terms)
-            once = np.unique(doc[place >= 0] * np.int64(len(vocabulary)) + place[place >= 0])
-            d, t = once // len(vocabulary), once % len(vocabulary)
+            leaf = number_of[tree.leaf_of(*_entries(batch))]
+            terms, doc = _flat(batch)
+            once = np.unique(doc[terms != END] * np.int64(v) + terms[terms != END] - 1)
+            d, t = once // v, once % v
             housed = leaf[d] >= 0
-            held += np.bincount(leaf[d[housed]] * len(vocabulary) + t[housed], minlength=held.size).reshape(held.shape)
+            held += np.bincount(leaf[d[housed]] * v + t[housed], minlength=held.size).reshape(held.shape)
             yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(np.full(n, -1)), batch.column("doc_id"), pa.array(np.ones(n, np.int64))], ["leaf", "term", "doc_id", "n"])
         a, b = np.nonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), -1)), pa.array(held[a, b].astype(np.int64))], ["leaf", "term", "doc_id", "n"])
 
-    assigned = stored(rows.mapInArrow(assign, "leaf long, term long, doc_id long, n long"), "leaves")
+    assigned = stored(coded.mapInArrow(assign, "leaf long, term long, doc_id long, n long"), "leaves")
     held = np.zeros((m, v))
     for r in assigned.where("term >= 0").groupBy("leaf", "term").agg(F.sum("n").alias("n")).toPandas().itertuples(index=False):  # at most leaves * most_terms rows
         held[r[0], r[1]] = r[2]
@@ -294,10 +417,10 @@ def subject_shares(docs: DataFrame, labels: DataFrame, areas: DataFrame, doc_col
     # a leaf speaks for the subjects that hold a good part of it; a leaf without labels for none
     counts = np.zeros((v, k + 1))
     counts[:, :k] = held.T @ np.where(mixture >= 0.15, mixture, 0)
-    weights = discriminative(counts, concentration, evidence)
+    weights = named_by_hand(discriminative(counts, concentration, evidence), by_hand, concentration, evidence)
     for _ in range(rounds):
-        weights = _by_sentence(rows, vocabulary, weights, concentration, evidence)
-    return _shares(rows, vocabulary, weights, subjects)
+        weights = _by_sentence(rows, weights, concentration, evidence)
+    return _shares(rows, weights, subjects)
 
 
 def _totals(rows: DataFrame, f, shape: tuple[int, int]) -> np.ndarray:
@@ -316,18 +439,18 @@ def _totals(rows: DataFrame, f, shape: tuple[int, int]) -> np.ndarray:
     return out
 
 
-def _by_sentence(rows: DataFrame, vocabulary: np.ndarray, weights: np.ndarray, concentration: float, evidence: float) -> np.ndarray:
+def _by_sentence(rows: DataFrame, weights: np.ndarray, concentration: float, evidence: float) -> np.ndarray:
     """Weights anew, from the terms of the sentences that the present ones give to each subject.
 
     A document counts a term once for each subject, however long it is.  A sentence they give to none counts by the shares of its document's subjects, which a term that no
     weight knows yet needs to be found; words of any document come out spread over all subjects."""
-    sent = rows.sparkSession.sparkContext.broadcast((vocabulary, weights))
+    sent = rows.sparkSession.sparkContext.broadcast(weights)
 
     def count(batch: pa.RecordBatch) -> np.ndarray:
-        vocabulary, weights = sent.value
+        weights = sent.value
         v, k = weights.shape
         terms, doc = _flat(batch)
-        place = Vectors(vocabulary, vocabulary).places(terms)
+        place = terms.astype(np.int64) - 1  # -1 for ends of sentences
         sentence, owner, subject = _sentence_subjects(terms, doc, place, weights)
         inside = place >= 0
         s = sentence[inside]
@@ -346,15 +469,15 @@ def _by_sentence(rows: DataFrame, vocabulary: np.ndarray, weights: np.ndarray, c
     return discriminative(_totals(rows, count, (weights.shape[0], weights.shape[1] + 1)), concentration, evidence)
 
 
-def _shares(rows: DataFrame, vocabulary: np.ndarray, weights: np.ndarray, subjects: list[str]) -> DataFrame:
-    sent = rows.sparkSession.sparkContext.broadcast((vocabulary, weights))
+def _shares(rows: DataFrame, weights: np.ndarray, subjects: list[str]) -> DataFrame:
+    sent = rows.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, weights = sent.value
+        weights = sent.value
         k = weights.shape[1]
         for batch in batches:
             terms, doc = _flat(batch)
-            _, owner, subject = _sentence_subjects(terms, doc, Vectors(vocabulary, vocabulary).places(terms), weights)
+            _, owner, subject = _sentence_subjects(terms, doc, terms.astype(np.int64) - 1, weights)
             both, n = np.unique(owner * (k + 1) + subject, return_counts=True)
             ids = batch.column("doc_id").to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(ids[both // (k + 1)]), pa.array(both % (k + 1)), pa.array(n)], ["doc_id", "number", "n"])

@@ -112,6 +112,36 @@ def test_subject_of_a_third(spark):
         assert len(got & want) >= 0.97 * len(want) and len(got - want) <= 0.03 * len(want)
 
 
+def test_rare_subject_without_a_leaf(spark):
+    """One document in a hundred is about a subject that no leaf is mostly about; hand labels name some of them."""
+    docs, truth = make_docs(1000, 3)
+    rng = random.Random(9)
+    moves = ["gambit", "bishop", "rook", "castling"]
+    for i in range(0, 1000, 100):
+        chess = " ".join(f"In {rng.randrange(1900, 2000)} they spoke about {x} with Mr{rng.randrange(10**6)}." for x in moves)
+        docs[i], truth[i] = (i, f"{docs[i][1]} {chess} {chess}", "x", "y"), truth[i] | {"chess": 1.0}
+    d = spark.createDataFrame(docs, "doc_id long, text string, a string, b string")
+    l = spark.createDataFrame([(i, t) for i in range(0, 1000, 4) for t in truth[i]], "doc_id long, subject string")
+    a = spark.createDataFrame([(t,) for t in [*TOPICS, "chess"]], "subject string")
+    found = {r["doc_id"] for r in subjects.subject_shares(d, l, a, leaves=3).where("share >= 0.2 and subject = 'chess'").collect()}
+    assert found == set(range(0, 1000, 100))
+
+
+def test_leaves_are_of_all_documents(spark):
+    """Split in Spark, the vectors give the leaves that they give in memory."""
+    rng = np.random.default_rng(2)
+    x = (rng.random((900, 12)) * (rng.random((900, 12)) < 0.3)).astype(np.float32)
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    points = spark.createDataFrame([(np.flatnonzero(r).tolist(), r[r != 0].tolist()) for r in x], "at array<int>, w array<float>").repartition(5)
+    tree, leaves, centres = subjects.grow(subjects._totaller(points), 12, 9, 8)
+    assert len(leaves) == 9 and np.allclose(centres, subjects.bisecting_kmeans(x, 9, 8), atol=1e-5)
+    leaf = tree.leaf_of(*np.nonzero(x), x[np.nonzero(x)], len(x))
+    assert set(leaf[(x != 0).any(1)]) == set(leaves)
+    for i, c in zip(leaves, centres):
+        s = x[leaf == i].sum(0)
+        assert np.allclose(s / np.linalg.norm(s), c, atol=1e-5)
+
+
 def test_bisecting():
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.normal(c, 0.05, (40, 4)) for c in np.eye(4)])
