@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from ledgerloom.llm import bottomk, components, simhash, textform
@@ -76,6 +77,28 @@ def test_overlaps_equal_brute_force(spark, seed):
     assert any(r["source"] is None for r in report)
 
 
+def test_overlaps_of_short_texts(spark):
+    """Texts of a few runs against themselves with a word more: likeness of just 0.75 and above."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(300):
+        t = [f"w{rng.randrange(10**6)}" for _ in range(5 + i % 12)]
+        rows += [(f"a{i}", "train", " ".join(t), "a", "s", 0, "", ""), (f"b{i}", "dev", " ".join([*t, "more"]), "a", "s", 0, "", "")]
+    got = simhash.cross_split_overlaps(spark.createDataFrame(rows, SCHEMA), words=3, threshold=0.75).select("eval_id", "train_id").collect()
+    assert {tuple(r) for r in got} == {(f"b{i}", f"a{i}") for i in range(300)}
+
+
+def test_large_sets_share_a_block():
+    rng = np.random.default_rng(3)
+    n, both = 250_000, 214_286
+    for _ in range(6):
+        x = np.unique(rng.integers(-(2**63), 2**63 - 1, 2 * n - both))
+        rng.shuffle(x)
+        a, b = np.sort(x[:n]), np.sort(x[n - both :])
+        keys = [set(simhash.encode(v, np.array([len(v)]), 0.75, beside)[1].tolist()) for v, beside in ((a, 1), (b, 0))]
+        assert keys[0] & keys[1]
+
+
 def test_empty_and_hot(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert bottomk.near_duplicate_groups(df).count() == 0 and simhash.cross_split_overlaps(df).count() == 0
