@@ -3,7 +3,7 @@
 For each request the rows of its batch are counted by cell, the cells' weights are raked by iterative
 proportional fitting over the margins of profession, of gender and of both, and every row gets a weighted
 exponential key -ln(u)/w, u being a hash of seed, request and id.  The rows with the smallest keys are the
-sample; cells under their minimum are then filled with their next rows, in exchange for rows of the cells that are
+sample, without those of weight 0; cells under their minimum are then filled with their next rows, in exchange for rows of the cells that are
 furthest over their share.  Only counts by cell reach a single task, never a batch's rows.
 """
 
@@ -98,19 +98,20 @@ def balanced_sample(rows: DataFrame, requests: DataFrame, targets: DataFrame, or
     records, cells = _cells(rows, requests, targets, F.col(order_col) if order_col else None)
     weighed = stored(cells.groupBy("request_id").applyInPandas(_weigh, CELL + ", weight double"), "weights")
     u = (F.xxhash64(F.lit(seed), "request_id", "id") / F.lit(2.0**64) + 0.5) * (1 - 2.0**-52) + 2.0**-53
-    usable = weighed.where("weight > 0 and sample_size > 0")
-    keyed = records.join(usable, ["batch_id", "profession", "gender"]).select("request_id", "profession", "gender", "id", "sample_size", (-F.log(u) / F.col("weight")).alias("key"), F.pmod(F.hash("id"), F.lit(SALTS)).alias("salt"))
+    keyed = records.join(weighed, ["batch_id", "profession", "gender"]).select("request_id", "profession", "gender", "id", "sample_size", F.when(F.col("weight") > 0, -F.log(u) / F.col("weight")).otherwise(F.lit(float("inf"))).alias("key"), u.alias("u"), F.pmod(F.hash("id"), F.lit(SALTS)).alias("salt"))
     least = weighed.groupBy("request_id").agg(F.max("min_rows").alias("most"))
     keyed = keyed.join(least, "request_id")
     # first within salted parts of a cell, so that no task sorts a whole batch
-    part = Window.partitionBy(*KEYS, "salt").orderBy("key", "id")
+    part = Window.partitionBy(*KEYS, "salt").orderBy("key", F.desc("u"), "id")
     kept = keyed.withColumn("n", F.row_number().over(part)).where("n <= greatest(sample_size, most)").drop("n", "salt")
-    kept = kept.withColumn("n", F.row_number().over(Window.partitionBy(*KEYS).orderBy("key", "id")))
-    kept = stored(kept.withColumn("overall", F.row_number().over(Window.partitionBy("request_id").orderBy("key", "id"))), "keyed")
-    drawn = kept.where("overall <= sample_size").groupBy(*KEYS).agg(F.count("*").alias("drawn"))
+    kept = kept.withColumn("n", F.row_number().over(Window.partitionBy(*KEYS).orderBy("key", F.desc("u"), "id")))
+    kept = stored(kept.withColumn("overall", F.row_number().over(Window.partitionBy("request_id").orderBy("key", F.desc("u"), "id"))), "keyed")
+    drawn = kept.where(F.col("overall") <= F.col("sample_size")).where(F.col("key") < float("inf")).groupBy(*KEYS).agg(F.count("*").alias("drawn"))
     counted = weighed.alias("w").join(drawn.alias("d"), [F.col(f"w.{c}").eqNullSafe(F.col(f"d.{c}")) for c in KEYS], "left").select("w.*", F.coalesce("d.drawn", F.lit(0)).alias("drawn"))
     taken = stored(counted.groupBy("request_id").applyInPandas(_take, CELL + ", weight double, drawn long, taken long"), "taken")
     sample = kept.join(taken.select(*KEYS, "taken"), KEYS).where("n <= taken").select("request_id", "id", "profession", "gender")
     needed = F.greatest("min_rows", "target_rows")
-    report = taken.select("request_id", "profession", "gender", "target_rows", "min_rows", "available", "taken", F.greatest(needed - F.col("taken"), F.lit(0)).alias("gap"), (F.col("available") >= needed).alias("met"))
+    held = sample.groupBy(*KEYS).agg(F.count("*").alias("held"))
+    report = taken.drop("taken").alias("t").join(held.alias("h"), [F.col(f"t.{c}").eqNullSafe(F.col(f"h.{c}")) for c in KEYS], "left").select("t.*", F.coalesce("h.held", F.lit(0)).alias("taken"))
+    report = report.select("request_id", "profession", "gender", "target_rows", "min_rows", "available", "taken", F.greatest(needed - F.col("taken"), F.lit(0)).alias("gap"), (F.col("available") >= needed).alias("met"))
     return sample, report

@@ -39,6 +39,16 @@ def test_sample(spark):
     assert raking.balanced_sample(frames[0], frames[1], frames[2].limit(0))[1].count() == 0
 
 
+def test_minimum_of_a_cell_without_share(spark):
+    """A cell with share 0, and a request of size 0, get the rows of their minimums; the report counts those in the sample."""
+    rows = [(f"{i:03}", 0, "nurse" if i % 2 else "dj", "male", 0, 0.0, 0) for i in range(60)]
+    frames = spark.createDataFrame(rows, ROWS), spark.createDataFrame([(1, 0, 10), (2, 0, 0)], REQUESTS), spark.createDataFrame([(1, "nurse", "male", 1.0, 0), (1, "dj", "male", 0.0, 3), (2, "dj", "male", 1.0, 4)], TARGETS)
+    sample, report = raking.balanced_sample(*frames)
+    held = [(r["request_id"], r["profession"]) for r in sample.collect()]
+    assert {x: held.count(x) for x in held} == {(1, "nurse"): 7, (1, "dj"): 3, (2, "dj"): 4}
+    assert {(r["request_id"], r["profession"]): (r["taken"], r["gap"]) for r in report.collect()} == {(1, "nurse"): (7, 3), (1, "dj"): (3, 0), (2, "dj"): (4, 0)}
+
+
 def plain_best_fit(sizes, capacity):
     left = []
     for s in sorted(sizes, reverse=True):
