@@ -1,15 +1,15 @@
-"""Subject areas of documents: bisecting k-means over document vectors, leaves labelled by their discriminative terms.
-
-Terms are words that are not rare; of those in many documents only the ones that hand labels depend on.  Documents become normalised tf-idf vectors in which a term weighs
-by how much the hand labels depend on it; bisecting k-means splits all of them into leaves, a few leaves at a time, from
-sums by leaf over all documents.  Hand labels of the documents of a leaf give its mixture of subjects, and the leaves'
-term counts, weighed by these mixtures, the terms that tell subjects apart; a subject that no leaf speaks for gets its terms from the labelled documents
-themselves.  A sentence is about the subject its
-discriminative terms speak for most, or about none if it holds none of them.  Further rounds take the term counts of
-sentences instead of documents, which parts the subjects of documents about several.  The share of a subject is
-that of the document's sentences.
-
-Counts of terms, leaves and labels and the leaves themselves are over all documents.
+"""Subject areas of documents: bisecting k-means over vectors of their sentences, leaves labelled by discriminative terms, leaf mixtures.
+
+The subjects of a document are asked by its sentences, so a vector stands for a sentence: a whole document about two
+subjects would only give leaves of both.  Terms are the words that hand labels depend on; a sentence is the set of terms it
+holds, a normalised vector in which a term weighs by its rarity and by how much labels depend on it.  Equal sets are one
+weighted row from there on.  Bisecting k-means splits all rows, a level of the tree at a time, until no
+leaf holds another group of some size; their number follows the corpus.  The mixture of a leaf says for each subject in what part of its labelled
+sentences the document is labelled with it, together with what its discriminative terms say, which decides where labels are few.
+A subject has a leaf if it stands out there from what the labels of any document give; a leaf of several subjects is shared among
+them.  A sentence is about the subjects of its leaf if it holds one of the leaf's discriminative terms, else about none.  The share of a subject in a document is the mean over its sentences.
+
+Counts of terms, the leaves and their mixtures are over all documents.
 """
 
 from __future__ import annotations
@@ -27,13 +27,16 @@ from .records import label
 from .scratch import drop, stored
 
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
+_ODD = re.compile(f"[<&＜＆．！？{re.escape(textform.BLANKS)}]")
+SPEAKS = 0.3  # least weight of a discriminative term in its leaf's centre
 END = 0  # ends a sentence in a document's row of terms
+MANY = 4_000_000  # entries that a task gathers before it passes them on
 
 
 def _terms_of(text: str) -> list[int]:
-    """31-bit hashes of the words, END behind each sentence that holds any."""
+    """64-bit hashes of the words, END behind each sentence that holds any."""
     out: list[int] = []
-    if "<" in text or "&" in text:
+    if _ODD.search(text):
         text = textform.plain(text)
     for sentence in _SENTENCE.split(text):
         n = len(out)
@@ -43,70 +46,133 @@ def _terms_of(text: str) -> list[int]:
     return out
 
 
-def _tokenised(docs: DataFrame, doc_col: str, text_col: str) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = [np.array(_terms_of(t), np.uint64) for t in batch.column("t").to_pylist()]
-            sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-            flat = np.concatenate(parts) if parts else np.empty(0, np.uint64)
-            terms = np.where(flat == END, 0, (flat >> np.uint64(33)) | np.uint64(1)).astype(np.int32)
-            offsets = pa.array(np.concatenate(([0], sizes.cumsum())), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(offsets, pa.array(terms))], ["doc_id", "terms"])
+def _offsets(sizes: np.ndarray) -> pa.Array:
+    return pa.array(np.concatenate(([0], sizes.cumsum())), pa.int32())
 
-    usable = docs.select(F.col(doc_col).cast("long").alias("doc_id"), F.col(text_col).alias("t")).where("doc_id is not null and t is not null")
-    return usable.mapInArrow(run, "doc_id long, terms array<int>")
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(values of all lists one after another, the list of each)."""
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return column.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(sizes)), sizes)
 
 
-def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """(terms of all documents one after another, the document of each)."""
-    lists = batch.column("terms")
-    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    return lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(sizes)), sizes)
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys, kind="stable")
+    k = keys[order]
+    new = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.empty(0, np.int64)
+    return k[new], np.add.reduceat(counts[order], new) if len(new) else np.empty(0, counts.dtype)
 
 
-def _lists(owner: np.ndarray, values: np.ndarray, n: int) -> pa.ListArray:
-    """The values of each of n rows, given row after row."""
-    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.bincount(owner, minlength=n).cumsum())), pa.int32()), pa.array(values))
+TOKENS = "doc_id long, terms array<int>, numbers array<int>, bucket int, keys binary, counts binary"
 
 
-def _summed(rows: DataFrame, f, names: list[str]) -> DataFrame:
-    """Counts by key over all rows: f gives arrays of keys and counts for a batch; the rest is one small shuffle."""
-    schema = ", ".join(f"{n} long" for n in [*names, "n"])
+def _tokenised(docs: DataFrame, sets: DataFrame, doc_col: str, text_col: str, subjects: int, buckets: int) -> DataFrame:
+    """Rows of documents (doc_id, terms, numbers of their labels), and rows (bucket, keys, counts) that sum up a part of them.
+
+    A key is a term and a subject: in how many documents with that label the term is, behind the subjects in how many labelled
+    documents and in how many at all.  So the texts are read and cut once."""
+    width = subjects + 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)) for a in f(batch)], [*names, "n"])
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def batch_of(n: int, **given: pa.Array) -> pa.RecordBatch:
+            kinds = {"doc_id": pa.int64(), "terms": pa.list_(pa.int32()), "numbers": pa.list_(pa.int32()), "bucket": pa.int32(), "keys": pa.binary(), "counts": pa.binary()}
+            return pa.RecordBatch.from_arrays([given.get(c, pa.nulls(n, kind)) for c, kind in kinds.items()], list(kinds))
+
+        def sums() -> pa.RecordBatch:
+            keys, counts = _summed(*(np.concatenate(p) for p in zip(*held)))
+            held.clear()
+            bucket = keys // width % buckets
+            order = np.argsort(bucket, kind="stable")
+            cut = np.searchsorted(bucket[order], np.arange(1, buckets))
+            parts = [(np.split(x[order], cut)) for x in (keys, counts)]
+            return batch_of(buckets, bucket=pa.array(np.arange(buckets), pa.int32()), keys=pa.array([x.tobytes() for x in parts[0]], pa.binary()), counts=pa.array([x.astype(np.int32).tobytes() for x in parts[1]], pa.binary()))
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                batch = whole.slice(at, 2000)
+                parts = [np.array(_terms_of(t), np.uint64) for t in batch.column("t").to_pylist()]
+                sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+                flat = np.concatenate(parts)
+                terms = np.where(flat == END, 0, (flat >> np.uint64(33)) | np.uint64(1)).astype(np.int64)
+                numbers = batch.column("numbers")
+                yield batch_of(batch.num_rows, doc_id=batch.column("doc_id"), terms=pa.ListArray.from_arrays(_offsets(sizes), pa.array(terms.astype(np.int32))), numbers=numbers)
+                doc = np.repeat(np.arange(len(sizes)), sizes)
+                words = terms != END
+                once = np.unique(doc[words] << 32 | terms[words])
+                d, t = once >> 32, once & 0xFFFFFFFF
+                given, owner = _flat(numbers)
+                many = np.bincount(owner, minlength=len(sizes))
+                first = many.cumsum() - many
+                pick = np.repeat(first[d], many[d]) + np.arange(many[d].sum()) - np.repeat(many[d].cumsum() - many[d], many[d])
+                keys = np.concatenate((t * width + subjects + 1, np.repeat(t, many[d]) * width + given[pick]))
+                held.append(_summed(keys, np.ones(len(keys), np.int64)))
+                if sum(len(k) for k, _ in held) > MANY:
+                    yield sums()
+        if held:
+            yield sums()
+
+    usable = docs.select(F.col(doc_col).cast("long").alias("doc_id"), F.col(text_col).alias("t")).where("doc_id is not null and t is not null")
+    return usable.join(sets, "doc_id", "left").select("doc_id", "t", "numbers").mapInArrow(run, TOKENS)
+
 
-    return rows.mapInArrow(run, schema).groupBy(*names).agg(F.sum("n").alias("n"))
+def _frequencies(sums: DataFrame, subjects: int, least: float, buckets: int) -> list:
+    """Rows (term, subject, documents) of the terms in at least `least` documents; behind the subjects labelled and all ones."""
+    width = subjects + 2
 
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            for k, c in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist()):
+                held.append((np.frombuffer(k, np.int64), np.frombuffer(c, np.int32).astype(np.int64)))
+        if not held:
+            return
+        keys, counts = _summed(*(np.concatenate(p) for p in zip(*held)))
+        every = keys % width == subjects + 1
+        often = keys[every & (counts >= least)] // width
+        keep = np.isin(keys // width, often)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys[keep] // width, keys[keep] % width, counts[keep])], ["term", "subject", "n"])
 
-def _document_frequency(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    terms, doc = _flat(batch)
-    both = np.unique((doc[terms != END] << 32) | terms[terms != END])
-    return np.unique(both & 0x7FFFFFFF, return_counts=True)
+    return sums.where("bucket is not null").select("bucket", "keys", "counts").repartition(buckets, "bucket").mapInArrow(merge, "term long, subject long, n long").collect()
 
 
-class Vectors:
-    """tf-idf vectors over a fixed vocabulary, as (document, term, weight) of unit length."""
+class Vocabulary:
+    """Terms (ascending) with their weights."""
 
-    def __init__(self, vocabulary: np.ndarray, idf: np.ndarray) -> None:
-        self.vocabulary, self.idf = vocabulary, idf
+    def __init__(self, terms: np.ndarray, weight: np.ndarray) -> None:
+        self.terms, self.weight = terms, weight
 
     def places(self, terms: np.ndarray) -> np.ndarray:
-        """Places in the vocabulary, -1 for words outside it and ends of sentences."""
-        if not len(self.vocabulary):
+        """Places in the vocabulary, -1 for other words and ends of sentences."""
+        if not len(self.terms):
             return np.full(len(terms), -1)
-        at = np.minimum(np.searchsorted(self.vocabulary, terms), len(self.vocabulary) - 1)
-        return np.where(self.vocabulary[at] == terms, at, -1)
+        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+        return np.where(self.terms[at] == terms, at, -1)
+
+    def sentences(self, lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(document of each sentence, key of each sentence, sentence and place of each entry).
 
-    def of(self, terms: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        A sentence holds a place once; equal sets have equal keys, and those without a term have key 0."""
+        terms, doc = _flat(lists)
+        ends = terms == END
+        owner = doc[ends]
+        sentence = ends.cumsum() - ends
         place = self.places(terms)
-        width = max(1, len(self.vocabulary))
-        both, count = np.unique(doc[place >= 0] * width + place[place >= 0], return_counts=True)
-        d, t = both // width, both % width
-        w = (1 + np.log(count)) * self.idf[t] if len(t) else np.empty(0)
-        norm = np.sqrt(np.bincount(d, w * w, n))
-        return d, t, w / np.maximum(norm[d], 1e-12)
+        inside = place >= 0
+        width = max(1, len(self.terms))
+        both = np.unique(sentence[inside] * width + place[inside])
+        s, t = both // width, both % width
+        key = np.zeros(len(owner), np.uint64)
+        if len(s):
+            first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+            key[s[first]] = np.add.reduceat(textform.mix(t.astype(np.uint64) + np.uint64(1)), first) | np.uint64(1)
+        return owner, key.view(np.int64), s, t
+
+    def vectors(self, s: np.ndarray, t: np.ndarray, n: int) -> np.ndarray:
+        """Weights of the entries (row, place) so that each of n rows has unit length."""
+        w = self.weight[t]
+        return w / np.sqrt(np.maximum(np.bincount(s, w * w, n), 1e-24))[s]
 
 
 class Tree:
@@ -116,15 +182,17 @@ class Tree:
         self.direction, self.offset = np.zeros((0, width), np.float32), np.zeros(0)
         self.split, self.child = np.array([-1]), np.array([[-1, -1]])  # of each node its row of direction (-1: a leaf), left and right
 
-    def cut(self, node: int) -> None:
-        self.split[node] = len(self.offset)
-        self.child[node] = len(self.split), len(self.split) + 1
-        self.direction = np.concatenate((self.direction, np.zeros((1, self.direction.shape[1]), np.float32)))
-        self.offset = np.append(self.offset, 0.0)
-        self.split, self.child = np.append(self.split, [-1, -1]), np.concatenate((self.child, np.full((2, 2), -1)))
+    def cut(self, nodes: list[int]) -> None:
+        """Turns leaves into inner nodes whose directions are yet to be set."""
+        m, at = len(nodes), len(self.split)
+        self.split[nodes] = np.arange(len(self.offset), len(self.offset) + m)
+        self.child[nodes] = at + np.arange(2 * m).reshape(m, 2)
+        self.direction = np.concatenate((self.direction, np.zeros((m, self.direction.shape[1]), np.float32)))
+        self.offset = np.append(self.offset, np.zeros(m))
+        self.split, self.child = np.append(self.split, np.full(2 * m, -1)), np.concatenate((self.child, np.full((2 * m, 2), -1)))
 
     def leaf_of(self, d: np.ndarray, t: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
-        """The leaf of each of n rows, given as entries (row, place, weight); -1 for rows without any."""
+        """The leaf of each of n rows, given as entries (row, place, weight) in order of rows; -1 for rows without any."""
         node = np.where(np.bincount(d, minlength=n) > 0, 0, -1)
         while True:
             at = np.where(node >= 0, self.split[node], -1)
@@ -135,28 +203,29 @@ class Tree:
             score = np.bincount(d, w * self.direction[at[d], t], n)
             node = np.where(at >= 0, self.child[node, (score < self.offset[at]).astype(int)], node)
 
-    def sums(self, d: np.ndarray, t: np.ndarray, w: np.ndarray, n: int, nodes: np.ndarray) -> np.ndarray:
-        """Of each given leaf the number of its rows, the sum of them and the sum of their squares, in one row."""
+    def sums(self, d: np.ndarray, t: np.ndarray, w: np.ndarray, count: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+        """Of each given leaf the number of its rows (each counts `count` times), the sum of them and the sum of their squares, in one row."""
         width = self.direction.shape[1]
         number = np.full(len(self.split) + 1, -1)
         number[nodes] = np.arange(len(nodes))
-        at = number[self.leaf_of(d, t, w, n)]
+        at = number[self.leaf_of(d, t, w, len(count))]
         inner = at[d] >= 0
         d, t, w = d[inner], t[inner], w[inner]
         key, size = at[d] * width + t, len(nodes) * width
-        parts = [np.bincount(key, x, size).reshape(len(nodes), width) for x in (w, w * w)]
-        return np.concatenate([np.bincount(at[at >= 0], minlength=len(nodes))[:, None], *parts], 1)
+        parts = [np.bincount(key, count[d] * x, size).reshape(len(nodes), width) for x in (w, w * w)]
+        return np.concatenate([np.bincount(at[at >= 0], count[at >= 0], len(nodes))[:, None], *parts], 1)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
 
 
-def grow(total: Callable[[Tree, np.ndarray], np.ndarray], width: int, leaves: int, least: int, rounds: int = 3) -> tuple[Tree, np.ndarray, np.ndarray]:
+def grow(total: Callable[[Tree, np.ndarray], np.ndarray], width: int, leaves: float, least: float, rounds: int = 3, together: int = 1 << 30) -> tuple[Tree, np.ndarray, np.ndarray]:
     """(tree, its leaves, their centres), by splitting the leaves with the most spread in two until there are enough.
 
-    total: Tree.sums over all rows.  Leaves of a quarter of the largest spread or more are split together.  A split starts from
-    the term that varies most in the leaf; leaves of under 2 * least rows stay whole."""
+    total: Tree.sums over all rows.  Leaves of a quarter of the largest spread or more are split together, without a bound on their number all
+    that may be, at most `together` of them, which bounds the sums.  A split starts from halves of the terms that vary alike, as a single term would only part its own rows from the rest.  Leaves of under 2 * least rows stay whole, and those whose spread (the sum
+    of 1 - cosine to the centre over their rows) is under `least`: they hold no other group of that size."""
     tree = Tree(width)
     sums = {0: total(tree, np.array([0]))[0]}
     whole: set[int] = set()
@@ -165,15 +234,17 @@ def grow(total: Callable[[Tree, np.ndarray], np.ndarray], width: int, leaves: in
         return float(sums[node][0] - np.linalg.norm(sums[node][1 : 1 + width]))
 
     while True:
-        open_ = sorted((i for i in sums if i not in whole and sums[i][0] >= max(2, 2 * least) and spread(i) >= 1e-6 * sums[i][0]), key=lambda i: (-spread(i), i))
-        chosen = [i for i in open_ if spread(i) >= 0.25 * spread(open_[0])][: max(0, leaves - len(sums))]
+        open_ = sorted((i for i in sums if i not in whole and sums[i][0] >= max(2, 2 * least) and spread(i) >= max(least, 1e-6 * sums[i][0])), key=lambda i: (-spread(i), i))
+        chosen = [i for i in open_ if leaves == np.inf or spread(i) >= 0.25 * spread(open_[0])][: int(min(max(0, leaves - len(sums)), together))]
         if not chosen:
             break
+        tree.cut(chosen)
         for i in chosen:
             mean, square = sums[i][1 : 1 + width] / sums[i][0], sums[i][1 + width :] / sums[i][0]
-            most = int((square - mean * mean).argmax())
-            tree.cut(i)
-            tree.direction[-1, most], tree.offset[-1] = 1, mean[most]
+            order = np.argsort(-(square - mean * mean), kind="stable")
+            way = np.zeros(width)
+            way[order] = np.where((np.arange(width) + 1) // 2 % 2, -1, 1)  # + - - + + - - ...
+            tree.direction[tree.split[i]], tree.offset[tree.split[i]] = way, way @ mean
         halves = tree.child[chosen].ravel()
         for at in range(rounds):
             got = total(tree, halves)
@@ -194,299 +265,253 @@ def grow(total: Callable[[Tree, np.ndarray], np.ndarray], width: int, leaves: in
     return tree, found, _unit(centres).astype(np.float32)
 
 
-def bisecting_kmeans(x: np.ndarray, leaves: int, least: int, rounds: int = 3) -> np.ndarray:
+def bisecting_kmeans(x: np.ndarray, leaves: float, least: float, rounds: int = 3) -> np.ndarray:
     """Centres of unit length of the rows of x, unit vectors (rows of zeros take no part)."""
     d, t = np.nonzero(x)
-    return grow(lambda tree, nodes: tree.sums(d, t, x[d, t], len(x), nodes), x.shape[1], leaves, least, rounds)[2]
-
+    return grow(lambda tree, nodes: tree.sums(d, t, x[d, t], np.ones(len(x)), nodes), x.shape[1], leaves, least, rounds)[2]
 
-def _entries(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(row, place, weight) of the entries of a batch's vectors, and the number of rows."""
-    sizes = batch.column("at").value_lengths().to_numpy(zero_copy_only=False)
-    return np.repeat(np.arange(batch.num_rows), sizes), batch.column("at").flatten().to_numpy(), batch.column("w").flatten().to_numpy(), batch.num_rows
 
-
-def _totaller(points: DataFrame) -> Callable[[Tree, np.ndarray], np.ndarray]:
-    """Tree.sums over all rows of a table of vectors (at, w); few tasks, each of which sends one row a leaf."""
+def _gathered(points: DataFrame, f: Callable[[pa.RecordBatch], np.ndarray], rows: int, columns: int) -> np.ndarray:
+    """Sum over all batches of the matrices that f gives; tasks send the rows that aren't zero, merged before they reach the driver."""
     context = points.sparkSession.sparkContext
-    few = points.select("at", "w").coalesce(4 * context.defaultParallelism)
-
-    def total(tree: Tree, nodes: np.ndarray) -> np.ndarray:
-        sent = context.broadcast((tree, nodes))
-        columns = 1 + 2 * tree.direction.shape[1]
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tree, nodes = sent.value
-            out = np.zeros((len(nodes), columns))
-            for batch in batches:
-                out += tree.sums(*_entries(batch), nodes)
-            yield rows(np.flatnonzero(out[:, 0]), out)
-
-        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out: dict[int, np.ndarray] = {}
-            for batch in batches:
-                for i, x in zip(batch.column("leaf").to_pylist(), batch.column("x").to_pylist()):
-                    out[i] = out.get(i, 0) + np.frombuffer(x)
-            yield rows(np.array(sorted(out), int), out)
-
-        def rows(held: np.ndarray, out) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array([out[i].tobytes() for i in held], pa.binary())], ["leaf", "x"])
-
-        schema = "leaf long, x binary"
-        summed = few.mapInArrow(run, schema).repartition(min(len(nodes), context.defaultParallelism), "leaf").mapInArrow(merge, schema)
-        out = np.zeros((len(nodes), columns))
-        for i, x in summed.collect():  # at most two rows a leaf that is split
-            out[i] = np.frombuffer(x)
-        sent.destroy()
-        return out
-
-    return total
 
+    def packed(held: np.ndarray, out) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array([out[i].tobytes() for i in held], pa.binary())], ["row", "x"])
 
-def named_by_hand(weights: np.ndarray, by_label: np.ndarray, concentration: float, evidence: float) -> np.ndarray:
-    """weights, and for each subject without any those that its labelled documents give.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((rows, columns))
+        for batch in batches:
+            out += f(batch)
+        yield packed(np.flatnonzero(out.any(1)), out)
 
-    by_label: (terms x subjects) how many labelled documents of each subject hold the term."""
-    lost = weights.max(0, initial=0) <= 0
-    hand = discriminative(np.column_stack((by_label, np.zeros(len(by_label)))), concentration, evidence) * lost
-    return np.where(hand.max(1, keepdims=True) > 0, hand, weights)
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, x in zip(batch.column("row").to_pylist(), batch.column("x").to_pylist()):
+                out[i] = out.get(i, 0) + np.frombuffer(x)
+        yield packed(np.array(sorted(out), int), out)
+
+    schema = "row long, x binary"
+    made = points.coalesce(4 * context.defaultParallelism).mapInArrow(run, schema).repartition(max(1, min(rows, context.defaultParallelism)), "row").mapInArrow(merge, schema)
+    out = np.zeros((rows, columns))
+    for i, x in made.collect():  # a row each at most
+        out[i] = np.frombuffer(x)
+    return out
 
 
-def discriminative(counts: np.ndarray, concentration: float, evidence: float) -> np.ndarray:
-    """(terms x subjects) weights: log of how much likelier a subject's texts hold the term than all texts; 0 for terms
-    that no subject owns.
+def _entries(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place, weight) of the entries of a batch's vectors, and how often each row counts."""
+    t, d = _flat(batch.column("at"))
+    return d, t, batch.column("w").flatten().to_numpy(), batch.column("n").to_numpy()
 
-    counts: (terms x subjects) how many texts of each subject hold the term, the last column those of none.  Subjects
-    are weighed as if all were equally large.  A subject owns a term if it has at least `concentration` of it, with at least `evidence` texts."""
-    totals = np.maximum(counts.sum(0), 1e-9)
-    rate = (counts + 0.05) / (totals + 0.05 * len(counts)) if len(counts) else counts
-    share = rate / rate.sum(1, keepdims=True)
-    k = counts.shape[1] - 1
-    best = share[:, :k].argmax(1) if k else np.zeros(len(counts), int)
-    row = np.arange(len(counts))
-    owned = (share[row, best] >= concentration) & (counts[row, best] >= evidence) if k else np.zeros(len(counts), bool)
-    weights = np.zeros((len(counts), k))
-    weights[row[owned], best[owned]] = np.log(share[row[owned], best[owned]] * counts.shape[1])
-    return weights
 
+def _totaller(points: DataFrame) -> Callable[[Tree, np.ndarray], np.ndarray]:
+    """Tree.sums over all rows of a table of vectors (at, w, n: how often the row counts, once without that column)."""
+    points = points.select("at", "w", (F.col("n") if "n" in points.columns else F.lit(1)).cast("double").alias("n"))
 
-def informative(counts: np.ndarray, prior: np.ndarray, doubt: float = 5.0) -> np.ndarray:
-    """How far the labels of a term's documents are from those of all documents (relative entropy), shrunk for rare terms.
+    def total(tree: Tree, nodes: np.ndarray) -> np.ndarray:
+        sent = points.sparkSession.sparkContext.broadcast((tree, nodes))
+        out = _gathered(points, lambda batch: sent.value[0].sums(*_entries(batch), sent.value[1]), len(nodes), 1 + 2 * tree.direction.shape[1])
+        sent.destroy()
+        return out
 
-    counts: (terms x subjects) labelled documents.  Grammar and the words of any document come out near 0."""
-    p = (counts + doubt * prior) / (counts.sum(1, keepdims=True) + doubt)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return np.nan_to_num(np.where(p > 0, p * np.log(p / prior), 0)).sum(1)
+    return total
 
 
-def grammar(counts: np.ndarray, prior: np.ndarray, least: float = 0.02) -> np.ndarray:
-    """Which terms the labels say nothing of: informative() is at most `least` more than chance gives so many labels."""
-    free = counts.shape[1] - 1
-    chance = (free + 2 * np.sqrt(2 * free)) / np.maximum(2 * counts.sum(1), 1)
-    return informative(counts, prior) <= least + chance
+def dependence(counts: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """Relative entropy of the labels of a term's documents to those of all documents, less what chance gives (one standard deviation above its mean); at least 0.
 
+    counts: (terms x subjects) labelled documents.  The words of any document come out near 0."""
+    total = counts.sum(1, keepdims=True)
+    p = counts / np.maximum(total, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        entropy = np.where(p > 0, p * np.log(p / prior), 0).sum(1)
+    free = max(1, counts.shape[1] - 1)
+    return np.maximum(entropy - (free + np.sqrt(2 * free)) / np.maximum(2 * total[:, 0], 1), 0)
+
+
+def mixtures(labelled: np.ndarray, centres: np.ndarray, by_term: np.ndarray, prior: np.ndarray, doubt: float, least: float) -> np.ndarray:
+    """(leaves x subjects): how far a sentence of the leaf is about each subject; adds up to 1 or, for none, 0.
+
+    labelled: (leaves x subjects + 1) labelled sentences with each label, at last all.  by_term: the same of the labelled
+    documents that hold a term, which are shrunk towards all documents.  What the terms say counts like `doubt` labelled sentences.  A subject has part in a leaf if surely at least `least`
+    of the labels name it and it stands out from its share of all documents nearly as much as the subject that does most."""
+    k = len(prior)
+    weight = centres**2  # adds up to 1 in a leaf
+    by_term = (by_term[:, :k] + 0.75 * doubt * prior) / (by_term[:, k:] + 0.75 * doubt)
+    said = (labelled[:, :k] + doubt * weight @ by_term) / (labelled[:, k:] + doubt)
+    sure = said - np.sqrt(said * (1 - said) / (labelled[:, k:] + doubt))  # one standard error less
+    part = np.where(sure >= least, np.maximum(said - prior, 0), 0)
+    part = np.where(part >= 0.7 * part.max(1, keepdims=True, initial=0), part, 0)
+    return part / np.where(part.sum(1, keepdims=True) > 0, part.sum(1, keepdims=True), 1)
+
+
+SIGNED = "key long, at array<int>, n double, labelled array<double>"
+
+
+def _signed(rows: DataFrame, vocabulary: Vocabulary, k: int) -> DataFrame:
+    """(key, at, w, n, labelled): each set of terms that a sentence holds, its vector, in how many documents a sentence holds just it, and how many of these documents
+    have each label, at last with any (none without).  A document counts each set once."""
+    sent = rows.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def rows_of(key: np.ndarray, sizes: np.ndarray, places: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        has = counts[:, k + 1] > 0
+        labelled = pa.ListArray.from_arrays(_offsets(np.where(has, k + 1, 0)), pa.array(counts[has, 1:].ravel()))
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.ListArray.from_arrays(_offsets(sizes), pa.array(places.astype(np.int32))), pa.array(counts[:, 0]), labelled], ["key", "at", "n", "labelled"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = sent.value
+        held: list[tuple] = []
+
+        def merged() -> tuple:
+            key, sizes, places, counts = (np.concatenate(p) for p in zip(*held))
+            held.clear()
+            u, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+            out = np.stack([np.bincount(inverse, c, len(u)) for c in counts.T], 1)
+            starts = sizes.cumsum() - sizes
+            n = sizes[first]
+            pick = np.repeat(starts[first] - (n.cumsum() - n), n) + np.arange(n.sum())
+            return u, n, places[pick], out
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                batch = whole.slice(at, 2000)
+                owner, key, s, t = vocabulary.sentences(batch.column("terms"))
+                given, doc = _flat(batch.column("numbers"))
+                has = np.zeros((batch.num_rows, k + 1))
+                has[doc, given] = 1
+                u, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+                once = np.unique(owner * np.int64(len(u)) + inverse)  # a document counts a set once, however often it repeats it
+                at_ = once % len(u)
+                number = np.full(len(key), -1)
+                number[first] = np.arange(len(u))
+                entry = number[s] >= 0
+                counts = np.stack([np.bincount(at_, x, len(u)) for x in (np.ones(len(at_)), *has[once // len(u)].T)], 1)
+                some = u != 0
+                held.append((u[some], np.bincount(number[s[entry]], minlength=len(u))[some], t[entry][np.argsort(number[s[entry]], kind="stable")], counts[some]))
+                if len(held) % 16 == 0:
+                    held.append(merged())
+                    if len(held[0][0]) * (k + 4) > MANY:
+                        yield rows_of(*held.pop())
+        if held:
+            yield rows_of(*merged())
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = sent.value
+        for batch in batches:
+            t, d = _flat(batch.column("at"))
+            w = vocabulary.vectors(d, t, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column("at"), pa.ListArray.from_arrays(batch.column("at").offsets, pa.array(w.astype(np.float32))), batch.column("n"), batch.column("labelled")], ["at", "w", "n", "labelled"])
 
-def _sentence_subjects(terms: np.ndarray, doc: np.ndarray, place: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sentence of each term, document of each sentence, subject of each sentence or the number of subjects for none)."""
-    ends = np.flatnonzero(terms == END)
-    sentence = np.cumsum(terms == END) - (terms == END)
-    k = weights.shape[1]
-    speech = np.append(weights.max(1), 0)  # -1 is the last: none
-    speaks = speech[place] > 0
-    s, t = sentence[speaks], place[speaks]
-    score = np.bincount(s * k + weights.argmax(1)[t], speech[t], len(ends) * k).reshape(-1, k)
-    return sentence, doc[ends], np.where(score.max(1) > 0, score.argmax(1), k)
+    made = rows.mapInArrow(count, SIGNED)
+    add = F.expr("aggregate(filter(l, x -> size(x) > 0), cast(array() as array<double>), (a, x) -> case when size(a) = 0 then x else zip_with(a, x, (p, q) -> p + q) end)")
+    one = made.groupBy("key").agg(F.first("at").alias("at"), F.sum("n").alias("n"), F.collect_list("labelled").alias("l")).select("at", "n", add.alias("labelled"))  # a row of each task at most
+    return one.mapInArrow(weigh, "at array<int>, w array<float>, n double, labelled array<double>")
 
 
-def subject_shares(docs: DataFrame, labels: DataFrame, areas: DataFrame, doc_col: str = "doc_id", text_col: str = "text", *, leaves: int = 96, least_share: float = 0.0003, most_share: float = 0.2, most_terms: int = 8000, vector_terms: int = 3000, concentration: float = 0.5, evidence: float = 3.0, rounds: int = 2) -> DataFrame:
+def subject_shares(docs: DataFrame, labels: DataFrame, areas: DataFrame, doc_col: str = "doc_id", text_col: str = "text", *, least_share: float = 0.0003, leaf_share: float = 0.0003, doubt: float = 10.0, least: float = 0.5) -> DataFrame:
     """(doc_id, subject, sentences, share): for each document the subjects that any of its sentences is about.
 
-    sentences is how many are, share what part of all its sentences.  A document with a null id, a null text or no word
-    has no row, nor has one about none of the areas.  Documents of one id count as one that holds all their sentences.  Labels
-    are compared trimmed, in lower case, with underscores; those of unknown documents or subjects are left
-    out, equal ones of a document count once.  Without labels no leaf has a subject, and there are no rows.
+    sentences is how many are (a sentence of a leaf of several subjects counts in part for each), share what part of all its sentences.  A
+    document with a null id, a null text or no word has no row, nor has one about none of the areas.  Documents of one id count as
+    one that holds all their sentences.  Labels are compared trimmed, in lower case, with underscores; those of unknown documents or
+    subjects are left out, equal ones of a document count once.  Without labels no leaf has a subject, and there are no rows.
 
-    Terms: words in at least least_share of the documents (and 3 of them), the most_terms most frequent of these, which bounds
-    all that is sent to the driver and the executors; the rest are names.  Words in more than most_share of the documents
-    are terms only if labels depend on them, else grammar."""
+    Terms: words in at least least_share of the documents (and 3 of them) that labels depend on, which bounds their number by the mean
+    length of a document / least_share; the rest are names and grammar.  Leaves are split until none holds another group of leaf_share of the
+    sentences, which bounds their number by 2 / leaf_share.  doubt and least: see mixtures()."""
     spark = docs.sparkSession
-    subjects = sorted(r[0] for r in areas.select(label(F.col("subject"))).where("subject is not null").distinct().limit(1000).collect()) if "subject" in areas.columns else []
+    subjects = sorted(r[0] for r in areas.select(label(F.col("subject"))).where("subject is not null").distinct().collect()) if "subject" in areas.columns else []
     k = len(subjects)
-    empty = spark.createDataFrame([], "doc_id long, subject string, sentences long, share double")
-    rows = stored(_tokenised(docs, doc_col, text_col), "terms")
-    n = rows.count()
-    if not n or not k:
+    empty = spark.createDataFrame([], "doc_id long, subject string, sentences double, share double")
+    if not k:
+        return empty
+    named = spark.createDataFrame([(s, i) for i, s in enumerate(subjects)], "subject string, number int")
+    given = labels.select(F.col(doc_col).cast("long").alias("doc_id"), label(F.col("subject")).alias("subject")).where("doc_id is not null").join(F.broadcast(named), "subject")  # one row a subject
+    # at most one entry a subject, and one behind them that stands for any
+    sets = stored(given.groupBy("doc_id").agg(F.array_union(F.collect_set("number"), F.array(F.lit(k))).alias("numbers")), "labels")
+    prior = np.zeros(k + 1)
+    for i, c in sets.select(F.explode("numbers").alias("i")).groupBy("i").count().collect():
+        prior[i] = c
+    buckets = max(1, spark.sparkContext.defaultParallelism)
+    rows = stored(_tokenised(docs, sets, doc_col, text_col, k, buckets), "terms")
+    n = rows.where("doc_id is not null").count()
+    if not n or not prior[k]:
         return empty
-    frequent = _summed(rows, _document_frequency, ["term"]).where(F.col("n") >= max(3, least_share * n))
-    kept = sorted(frequent.orderBy(F.desc("n"), "term").limit(most_terms).collect())
-    vocabulary = np.array([r[0] for r in kept], np.int64)
-    vectors = Vectors(vocabulary, np.log(n / np.array([r[1] for r in kept], float)) if kept else np.empty(0))
-    v = len(vocabulary)
-    if not v:
+    found = _frequencies(rows, k, max(3, least_share * n), buckets)
+    terms = np.unique(np.array([r[0] for r in found], np.int64))
+    counts = np.zeros((len(terms), k + 2))
+    for t, i, c in found:
+        counts[np.searchsorted(terms, t), i] = c
+    weight = dependence(counts[:, :k], (prior[:k] + 1) / (prior[:k] + 1).sum())
+    terms, counts, weight = terms[weight > 0], counts[weight > 0], weight[weight > 0]
+    if not len(terms):
         return empty
+    vocabulary = Vocabulary(terms, weight * np.log(1 + n / counts[:, k + 1]))
 
-    # labels of all labelled documents by term say which terms matter for the vectors
-    number = {s: i for i, s in enumerate(subjects)}
-    place_of = F.create_map(*(F.lit(x) for pair in number.items() for x in pair))[F.col("subject")]
-    given = labels.select(F.col(doc_col).cast("long").alias("doc_id"), label(F.col("subject")).alias("subject")).where(F.col("subject").isin(subjects)).distinct()
-    given = stored(given.select("doc_id", place_of.alias("number")), "labels")
-    sets = given.groupBy("doc_id").agg(F.collect_list("number").alias("numbers"))  # at most one entry a subject
-    words = spark.sparkContext.broadcast(vocabulary)
-
-    def labelled(batch: pa.RecordBatch) -> np.ndarray:
-        terms, doc = _flat(batch)
-        place = Vectors(words.value, words.value).places(terms)
-        once = np.unique(doc[place >= 0] * np.int64(len(words.value)) + place[place >= 0])
-        d, t = once // len(words.value), once % len(words.value)
-        has = np.zeros((batch.num_rows, k))
-        numbers = batch.column("numbers")
-        owner = np.repeat(np.arange(batch.num_rows), numbers.value_lengths().to_numpy(zero_copy_only=False))
-        has[owner, numbers.flatten().to_numpy()] = 1
-        part = has / np.maximum(has.sum(1, keepdims=True), 1)
-        return np.stack([np.stack([np.bincount(t, x[d, i], len(words.value)) for i in range(k)], 1) for x in (part, has)])
-
-    by_label, by_hand = _totals(rows.join(sets, "doc_id"), labelled, (2, v, k))
-    prior = (given.groupBy("number").count().toPandas().set_index("number")["count"].reindex(range(k)).fillna(0) + 1).to_numpy(float)
-    prior /= prior.sum()
-    spoken = ~(grammar(by_label, prior) & (np.array([r[1] for r in kept]) > most_share * n))
-    vocabulary, by_label, by_hand = vocabulary[spoken], by_label[spoken], by_hand[spoken]
-    vectors = Vectors(vocabulary, vectors.idf[spoken])
-    v = len(vocabulary)
-    weight = informative(by_label, prior)
-    used = np.sort(np.argsort(-weight, kind="stable")[:vector_terms])
-    used = used[weight[used] > 1e-9]
-    vectors = Vectors(vocabulary[used], vectors.idf[used] * weight[used])
-
-    # from here on the documents as places in the vocabulary, without other words, and as vectors
-    sent = spark.sparkContext.broadcast((vocabulary, vectors, used))
-
-    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, vectors, used = sent.value
-        every = Vectors(vocabulary, vocabulary)
-        own = np.full(len(vocabulary), -1)
-        own[used] = np.arange(len(used))
-        for batch in batches:
-            terms, doc = _flat(batch)
-            n, place = batch.num_rows, every.places(terms)
-            keep = (place >= 0) | (terms == END)
-            both, count = np.unique(doc[place >= 0] * np.int64(len(vocabulary)) + place[place >= 0], return_counts=True)
-            d, t = both // len(vocabulary), own[both % len(vocabulary)]
-            d, t, count = d[t >= 0], t[t >= 0], count[t >= 0]
-            w = (1 + np.log(count)) * vectors.idf[t]
-            w /= np.maximum(np.sqrt(np.bincount(d, w * w, n)), 1e-12)[d]
-            lists = [_lists(doc[keep], np.where(terms[keep] == END, END, place[keep] + 1).astype(np.int32), n), _lists(d, t.astype(np.int32), n), _lists(d, w.astype(np.float32), n)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *lists], ["doc_id", "terms", "at", "w"])
-
-    coded = stored(rows.mapInArrow(code, "doc_id long, terms array<int>, at array<int>, w array<float>"), "vectors")
-    drop(rows)
-    rows = coded.select("doc_id", "terms")
-
-    tree, places, _ = grow(_totaller(coded), len(used), leaves, 8)
-    m = len(places)
-    if not m:
+    rows = rows.where("doc_id is not null").select("doc_id", "terms", "numbers")
+    points = stored(_signed(rows, vocabulary, k), "sentences")
+    total = points.agg(F.sum("n")).first()[0] or 0
+    if not total:
         return empty
-    number_of = np.full(len(tree.split) + 1, -1)  # the last is for documents without a term
+    tree, places, centres = grow(_totaller(points), len(terms), np.inf, max(2, leaf_share * total), together=max(1, MANY // len(terms)))
+    m = len(places)
+    number_of = np.full(len(tree.split) + 1, -1)  # the last is for sentences without a term
     number_of[places] = np.arange(m)
     grown = spark.sparkContext.broadcast((tree, number_of))
 
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (leaf, term, -1, n) and (leaf, -1, document, 1), so that the documents are read once."""
+    def by_leaf(batch: pa.RecordBatch) -> np.ndarray:
         tree, number_of = grown.value
-        held = np.zeros((m, v))
-        for batch in batches:
-            n = batch.num_rows
-            leaf = number_of[tree.leaf_of(*_entries(batch))]
-            terms, doc = _flat(batch)
-            once = np.unique(doc[terms != END] * np.int64(v) + terms[terms != END] - 1)
-            d, t = once // v, once % v
-            housed = leaf[d] >= 0
-            held += np.bincount(leaf[d[housed]] * v + t[housed], minlength=held.size).reshape(held.shape)
-            yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(np.full(n, -1)), batch.column("doc_id"), pa.array(np.ones(n, np.int64))], ["leaf", "term", "doc_id", "n"])
-        a, b = np.nonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), -1)), pa.array(held[a, b].astype(np.int64))], ["leaf", "term", "doc_id", "n"])
-
-    assigned = stored(coded.mapInArrow(assign, "leaf long, term long, doc_id long, n long"), "leaves")
-    held = np.zeros((m, v))
-    for r in assigned.where("term >= 0").groupBy("leaf", "term").agg(F.sum("n").alias("n")).toPandas().itertuples(index=False):  # at most leaves * most_terms rows
-        held[r[0], r[1]] = r[2]
-    votes = assigned.where("term < 0 and leaf >= 0").select("leaf", "doc_id").join(given, "doc_id").groupBy("leaf", "number").agg(F.count("*"))
-    mixture = np.zeros((m, k))
-    for r in votes.collect():  # at most leaves * subjects rows
-        mixture[r[0], r[1]] = r[2]
-    mixture /= np.maximum(mixture.sum(1, keepdims=True), 1)
-    # a leaf speaks for the subjects that hold a good part of it; a leaf without labels for none
-    counts = np.zeros((v, k + 1))
-    counts[:, :k] = held.T @ np.where(mixture >= 0.15, mixture, 0)
-    weights = named_by_hand(discriminative(counts, concentration, evidence), by_hand, concentration, evidence)
-    for _ in range(rounds):
-        weights = _by_sentence(rows, weights, concentration, evidence)
-    return _shares(rows, weights, subjects)
-
-
-def _totals(rows: DataFrame, f, shape: tuple[int, int]) -> np.ndarray:
-    """Sum over all rows of the arrays of bounded shape that f gives for a batch; each task sends one sum."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(shape)
-        for batch in batches:
-            total += f(batch)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], ["at", "n"])
-
-    out = np.zeros(shape)
-    summed = rows.mapInArrow(run, "at long, n double").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
-    out.ravel()[summed["at"].to_numpy(np.int64)] = summed["n"].to_numpy(float)
-    return out
-
-
-def _by_sentence(rows: DataFrame, weights: np.ndarray, concentration: float, evidence: float) -> np.ndarray:
-    """Weights anew, from the terms of the sentences that the present ones give to each subject.
-
-    A document counts a term once for each subject, however long it is.  A sentence they give to none counts by the shares of its document's subjects, which a term that no
-    weight knows yet needs to be found; words of any document come out spread over all subjects."""
-    sent = rows.sparkSession.sparkContext.broadcast(weights)
-
-    def count(batch: pa.RecordBatch) -> np.ndarray:
-        weights = sent.value
-        v, k = weights.shape
-        terms, doc = _flat(batch)
-        place = terms.astype(np.int64) - 1  # -1 for ends of sentences
-        sentence, owner, subject = _sentence_subjects(terms, doc, place, weights)
-        inside = place >= 0
-        s = sentence[inside]
-        once = np.unique((owner[s] * np.int64(v) + place[inside]) * (k + 1) + subject[s])
-        d, t, about = once // (k + 1) // v, once // (k + 1) % v, once % (k + 1)
-        known = about < k
-        out = np.zeros((v, k + 1))
-        out[:, :k] = np.bincount(t[known] * k + about[known], minlength=v * k).reshape(v, k)
-        shares = np.bincount(owner[subject < k] * k + subject[subject < k], minlength=batch.num_rows * k).reshape(-1, k)
-        shares = shares / np.maximum(shares.sum(1, keepdims=True), 1)
-        d, t = d[~known], t[~known]
-        for i in range(k):
-            out[:, i] += np.bincount(t, shares[d, i], v)
-        return out
-
-    return discriminative(_totals(rows, count, (weights.shape[0], weights.shape[1] + 1)), concentration, evidence)
-
-
-def _shares(rows: DataFrame, weights: np.ndarray, subjects: list[str]) -> DataFrame:
-    sent = rows.sparkSession.sparkContext.broadcast(weights)
+        leaf = number_of[tree.leaf_of(*_entries(batch)[:3], batch.num_rows)]
+        x, d = _flat(batch.column("labelled"))
+        has = np.unique(d)
+        x = x.reshape(-1, k + 1)
+        return np.stack([np.bincount(leaf[has], x[:, i], m) for i in range(k + 1)], 1)
+
+    held = _gathered(points.select("at", "w", "n", "labelled"), by_leaf, m, k + 1)
+    mixture = mixtures(held, centres.astype(float), counts[:, : k + 1], prior[:k] / prior[k], doubt, least)
+    # a leaf's discriminative terms: at most 1 / SPEAKS**2 each, as its centre has unit length
+    leaf, term = np.nonzero(centres >= SPEAKS)
+    shares = _shares(rows, vocabulary, tree, number_of, mixture, leaf * len(terms) + term, subjects)
+    drop(points)
+    return shares
+
+
+def _shares(rows: DataFrame, vocabulary: Vocabulary, tree: Tree, number_of: np.ndarray, mixture: np.ndarray, speaking: np.ndarray, subjects: list[str]) -> DataFrame:
+    leaf, subject = np.nonzero(mixture)
+    many = np.bincount(leaf, minlength=len(mixture))
+    sent = rows.sparkSession.sparkContext.broadcast((vocabulary, tree, number_of, subject, mixture[leaf, subject], many, speaking))
+    k = len(subjects)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = sent.value
-        k = weights.shape[1]
-        for batch in batches:
-            terms, doc = _flat(batch)
-            _, owner, subject = _sentence_subjects(terms, doc, terms.astype(np.int64) - 1, weights)
-            both, n = np.unique(owner * (k + 1) + subject, return_counts=True)
-            ids = batch.column("doc_id").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(ids[both // (k + 1)]), pa.array(both % (k + 1)), pa.array(n)], ["doc_id", "number", "n"])
-
-    counted = rows.mapInArrow(run, "doc_id long, number long, n long").groupBy("doc_id", "number").agg(F.sum("n").alias("sentences"))
-    per = counted.groupBy("doc_id").agg(F.sum("sentences").alias("total"), F.collect_list(F.struct("number", "sentences")).alias("s"))  # at most one entry a subject
-    each = per.select("doc_id", "total", F.explode("s").alias("s")).where(F.col("s.number") < len(subjects))
-    name = F.element_at(F.array(*(F.lit(s) for s in subjects)), (F.col("s.number") + 1).cast("int"))
-    return each.select("doc_id", name.alias("subject"), F.col("s.sentences").alias("sentences"), (F.col("s.sentences") / F.col("total")).alias("share"))
+        vocabulary, tree, number_of, subject, part, many, speaking = sent.value
+        start = many.cumsum() - many
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                batch = whole.slice(at, 2000)
+                owner, key, s, t = vocabulary.sentences(batch.column("terms"))
+                u, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+                number = np.full(len(key), -1)
+                number[first] = np.arange(len(u))
+                once = number[s] >= 0  # each set of terms is led to its leaf once
+                d, t = number[s[once]], t[once]
+                leaf = number_of[tree.leaf_of(d, t, vocabulary.vectors(d, t, len(u)), len(u))]
+                spoken = np.isin(leaf[d] * np.int64(len(vocabulary.terms)) + t, speaking)
+                leaf = np.where(np.bincount(d, spoken, len(u)) > 0, leaf, -1)[inverse]
+                doc, leaf = owner[leaf >= 0], leaf[leaf >= 0]
+                n = many[leaf]
+                pick = np.repeat(start[leaf] - (n.cumsum() - n), n) + np.arange(n.sum())
+                both, at_ = np.unique(np.repeat(doc, n) * np.int64(k) + subject[pick], return_inverse=True)
+                parts = np.bincount(at_, part[pick], len(both))
+                offsets = _offsets(np.bincount(both // k, minlength=batch.num_rows))
+                columns = [batch.column("doc_id"), pa.array(np.bincount(owner, minlength=batch.num_rows)), pa.ListArray.from_arrays(offsets, pa.array((both % k).astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(parts))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "total", "numbers", "parts"])
+
+    made = rows.select("doc_id", "terms").mapInArrow(run, "doc_id long, total long, numbers array<int>, parts array<double>")
+    per = made.groupBy("doc_id").agg(F.sum("total").alias("total"), F.flatten(F.collect_list(F.arrays_zip("numbers", "parts"))).alias("s"))  # a row of each delivery of the document
+    each = per.select("doc_id", "total", F.explode("s").alias("s")).groupBy("doc_id", "total", F.col("s.numbers").alias("number")).agg(F.sum("s.parts").alias("sentences"))
+    name = F.element_at(F.array(*(F.lit(s) for s in subjects)), F.col("number") + 1)
+    return each.select("doc_id", name.alias("subject"), "sentences", (F.col("sentences") / F.col("total")).alias("share"))
 
 
 def composition(docs: DataFrame, assigned: DataFrame, doc_col: str = "doc_id") -> DataFrame:

@@ -79,7 +79,7 @@ def test_held_out_subjects(spark):
     d = spark.createDataFrame(docs + [(7000, None, "x", "y"), (7001, "", "x", "y"), (None, "court", "x", "y"), (7002, "court appeal. " * 30_000, "x", "y")], "doc_id long, text string, subject string, terms string")
     l = spark.createDataFrame(labels, "doc_id long, subject string, rater string")
     a = spark.createDataFrame([(t, t) for t in TOPICS], "subject string, description string")
-    shares = subjects.subject_shares(d, l, a, most_share=0.5)
+    shares = subjects.subject_shares(d, l, a)
     found = {(r["doc_id"], r["subject"]) for r in shares.where("share >= 0.2").collect()}
     want = {(i, t) for i, x in truth.items() for t, s in x.items() if s >= 0.2}
     assert len(found & want) >= 0.97 * len(want) and len(found - want - {(7002, "law")}) <= 0.03 * len(want)
@@ -123,7 +123,7 @@ def test_rare_subject_without_a_leaf(spark):
     d = spark.createDataFrame(docs, "doc_id long, text string, a string, b string")
     l = spark.createDataFrame([(i, t) for i in range(0, 1000, 4) for t in truth[i]], "doc_id long, subject string")
     a = spark.createDataFrame([(t,) for t in [*TOPICS, "chess"]], "subject string")
-    found = {r["doc_id"] for r in subjects.subject_shares(d, l, a, leaves=3).where("share >= 0.2 and subject = 'chess'").collect()}
+    found = {r["doc_id"] for r in subjects.subject_shares(d, l, a).where("share >= 0.2 and subject = 'chess'").collect()}
     assert found == set(range(0, 1000, 100))
 
 
