@@ -14,6 +14,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,32 +35,43 @@ def split_point(x: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, fl
 
 
 class Router:
-    """The top of the tree: a full binary tree of vantage points with 2^depth shards."""
-
-    def __init__(self, sample: np.ndarray, depth: int, seed: int = 0) -> None:
-        rng = np.random.default_rng(seed)
-        self.depth = depth
-        self.points = np.zeros((1 << depth, sample.shape[1] if sample.ndim == 2 else 0), np.float32)
-        self.medians = np.zeros(1 << depth)
-        parts = {1: sample}
-        for node in range(1, 1 << depth):
-            part = parts.pop(node)
-            if not len(part):  # the sample has run out of vectors here; all go to one side
-                parts[2 * node] = parts[2 * node + 1] = part
-                self.medians[node] = 3
-                continue
-            self.points[node], self.medians[node] = split_point(part, rng)
-            near = _distance(part @ self.points[node]) <= self.medians[node]
-            parts[2 * node], parts[2 * node + 1] = part[near], part[~near]
+    """The top of the tree: inner nodes hold a vantage point and a distance, leaves are shards (the number of a node names its shard)."""
+
+    def __init__(self, dim: int) -> None:
+        self.point, self.median = np.zeros((1, dim), np.float32), np.zeros(1)
+        self.child = np.full((1, 2), -1)
+        self.held = np.ones(1, bool)  # whether a shard holds vectors
+
+    def grow(self, leaf: int, sample: np.ndarray, depth: int, rng: np.random.Generator) -> None:
+        """Splits a leaf `depth` times by a sample of its vectors, as far as that has 16 for a split and tells them apart."""
+        if depth <= 0 or len(sample) < 16:
+            return
+        point, median = split_point(sample, rng)
+        d = _distance(sample @ point)
+        if not (d > median).any():  # half or more are equally far and nothing is farther
+            if not (d < median).any():
+                return
+            median = float(d[d < median].max())
+        at = len(self.child)
+        self.point, self.median = np.concatenate((self.point, np.zeros((2, self.point.shape[1]), np.float32))), np.append(self.median, [0, 0])
+        self.child, self.held = np.concatenate((self.child, np.full((2, 2), -1))), np.append(self.held, [True, True])
+        self.point[leaf], self.median[leaf], self.child[leaf] = point, median, (at, at + 1)
+        self.grow(at, sample[d <= median], depth - 1, rng)
+        self.grow(at + 1, sample[d > median], depth - 1, rng)
 
     def shards(self, x: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(vector, shard) for each shard that holds points within `reach` of a vector, as far as the triangle inequality tells."""
-        who, node = np.arange(len(x)), np.ones(len(x), np.int64)
-        for _ in range(self.depth):
-            d = _distance(np.einsum("ij,ij->i", x[who], self.points[node]))
-            near, far = d - reach[who] <= self.medians[node], d + reach[who] > self.medians[node]
-            who, node = np.concatenate((who[near], who[far])), np.concatenate((2 * node[near], 2 * node[far] + 1))
-        return who, node - (1 << self.depth)
+        who, node = np.arange(len(x)), np.zeros(len(x), np.int64)
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(who):
+            leaf = self.child[node, 0] < 0
+            done.append((who[leaf], node[leaf]))
+            who, node = who[~leaf], node[~leaf]
+            d = _distance(np.einsum("ij,ij->i", x[who], self.point[node]))
+            near, far = d - reach[who] <= self.median[node], d + reach[who] > self.median[node]
+            who, node = np.concatenate((who[near], who[far])), np.concatenate((self.child[node[near], 0], self.child[node[far], 1]))
+        who, node = (np.concatenate(p) for p in zip(*done)) if done else (who, node)
+        return who[self.held[node]], node[self.held[node]]
 
 
 class Best:
@@ -83,12 +95,12 @@ class Best:
         all_p = np.concatenate((self.partner[at], np.broadcast_to(partners, (len(rows), len(partners)))), axis=1)
         top = np.argpartition(-all_s, self.k - 1, axis=1)[:, : self.k]
         self.similarity[at] = np.take_along_axis(all_s, top, 1)
-        self.partner[at] = np.take_along_axis(all_p, top, 1)
+        self.partner[at] = np.where(self.similarity[at] > -np.inf, np.take_along_axis(all_p, top, 1), -1)
         self.floor[at] = np.maximum(self.similarity[at].min(1), self.least)
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
         who, column = np.nonzero(self.partner >= 0)
-        return who, self.partner[who, column], self.similarity[who, column]
+        return who, self.partner[who, column]
 
 
 class Tree:
@@ -108,7 +120,7 @@ class Tree:
             return point, -1.0, self._build(rows[:half], leaf_rows, rng), self._build(rows[half:], leaf_rows, rng)
         return point, median, self._build(rows[near], leaf_rows, rng), self._build(rows[~near], leaf_rows, rng)
 
-    def search(self, q: np.ndarray, k: int, factor: float, best: Best, residents: Best, same: bool) -> None:
+    def search(self, q: np.ndarray, factor: float, best: Best, residents: Best, same: bool) -> None:
         """Fills best (of the queries) and residents (of the tree's vectors).  same: the queries are the tree's vectors."""
 
         def visit(node, who: np.ndarray) -> None:
@@ -139,31 +151,53 @@ class Tree:
         visit(self.root, np.arange(len(q)))
 
 
-def _matrix(column) -> np.ndarray:
+def _unit(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+    """The vectors at unit length, in double precision; scaled first, as squares of extreme components could overflow."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    x = flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
-    return x
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    x /= np.abs(x).max(1, keepdims=True, initial=1e-300)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _offsets(sizes: np.ndarray) -> pa.Array:
+    return pa.array(np.concatenate(([0], sizes.cumsum())), pa.int32())
 
 
-def _unit(x: np.ndarray) -> np.ndarray:
-    """Unit vectors; scaled first, as squares of extreme components could overflow."""
-    if not x.size:
-        return x.astype(np.float32)
-    x = x / np.abs(x).max(1, keepdims=True)
-    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+def _cosines(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = np.empty(len(a))
+    for at in range(0, len(a), 50_000):
+        out[at : at + 50_000] = np.einsum("ij,ij->i", x[a[at : at + 50_000]], y[b[at : at + 50_000]])
+    return np.minimum(out, 1)
 
 
-def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], sizes.cumsum())), pa.int32()), pa.array(values))
+def _lists(n: int, who: np.ndarray, s: np.ndarray, ids: pa.ListArray) -> tuple[pa.ListArray, pa.ListArray]:
+    """Of n vectors the ids and similarities of their partners: who has which similarity to the ids of which list."""
+    sizes = ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    order = np.argsort(who, kind="stable")
+    offsets = _offsets(np.bincount(who, sizes, n).astype(np.int64))
+    return pa.ListArray.from_arrays(offsets, ids.take(pa.array(order)).flatten()), pa.ListArray.from_arrays(offsets, pa.array(np.repeat(s[order], sizes[order])))
 
 
-PAIRS = "id string, other string, similarity float"
+def _best_of(batch: pa.RecordBatch, keep: int, least: float) -> pa.RecordBatch:
+    """Of each row the `keep` most similar of its partners, each once; the smaller id first where they are equally similar."""
+    others, s = batch.column("others"), batch.column("similarities").flatten().to_numpy()
+    row = np.repeat(np.arange(batch.num_rows), others.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+    flat = others.flatten().dictionary_encode()
+    place = np.empty(len(flat.dictionary), np.int64)
+    place[pa.compute.array_sort_indices(flat.dictionary).to_numpy()] = np.arange(len(place))
+    name = place[flat.indices.to_numpy()]
+    order = np.lexsort((name, -s, row))
+    order = order[s[order] >= least]
+    _, first = np.unique(row[order] * np.int64(len(place) + 1) + name[order], return_index=True)
+    order = order[np.sort(first)]
+    r = row[order]
+    begin = np.searchsorted(r, np.arange(batch.num_rows))
+    order = order[np.arange(len(r)) - begin[r] < keep]
+    offsets = _offsets(np.bincount(row[order], minlength=batch.num_rows))
+    return pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(offsets, others.flatten().take(pa.array(order))), pa.ListArray.from_arrays(offsets, pa.array(s[order]))], ["id", "others", "similarities"])
 
 
-def _as_table(mine: pa.Array, theirs: pa.Array, pairs: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.Table:
-    a, b, s = pairs
-    return pa.table({"id": mine.take(pa.array(a)), "other": theirs.take(pa.array(b)), "similarity": pa.array(s, pa.float32())})
+LISTS = "id string, others array<string>, similarities array<double>"
 
 
 def usable(vector: Column, dim: int) -> Column:
@@ -171,7 +205,7 @@ def usable(vector: Column, dim: int) -> Column:
     return vector.isNotNull() & (F.size(vector) == dim) & finite & F.exists(vector, lambda x: x != 0)
 
 
-def nearest(vectors: DataFrame, id_col: str = "id", vector_col: str = "vector", *, dim: int = 64, k: int = 10, least: float = -1.0, factor: float = 0.1, shard_rows: int = 8192, sample_rows: int = 16384, leaf_rows: int = 256, visitors: int = 40_000) -> DataFrame:
+def nearest(vectors: DataFrame, id_col: str = "id", vector_col: str = "vector", *, dim: int = 64, k: int = 10, least: float = -1.0, factor: float = 0.2, shard_rows: int = 8192, sample_rows: int = 16384, leaf_rows: int = 256, visitors: int = 40_000, seed: int = 0) -> DataFrame:
     """(id, other, similarity, rank): for every usable vector the k other ids most similar to it, of cosine at least `least`.
 
     Usable: `dim` finite values, not all zero.  Null ids and all other rows are left out.  Rows of one id are one
@@ -179,84 +213,127 @@ def nearest(vectors: DataFrame, id_col: str = "id", vector_col: str = "vector",
     with the ids of its copies.  Of equally similar ids the smaller come first.  An empty table gives no rows; other
     columns are ignored.
 
-    factor: see the module; 1 is exact.  The top of the tree is fitted on the sample_rows vectors with the smallest hashes;
-    every vector is indexed and searched.  shard_rows is the aim for a shard, visitors bounds how many vectors visit it in
-    one task."""
+    factor: see the module; 1 is exact.  The top of the tree is fitted on at most sample_rows vectors, those with the smallest hashes;
+    every vector is indexed and searched.  Shards of more than 2 * shard_rows vectors are split again, by a sample of their own of
+    at most as many in all, until none is left that vantage points tell apart.  visitors bounds how many vectors visit a shard in one task; only a
+    shard with more is searched in several."""
     one = vectors.select(F.col(id_col).cast("string").alias("id"), F.col(vector_col).cast("array<float>").alias("vector"))
     one = one.where(F.col("id").isNotNull() & usable(F.col("vector"), dim)).groupBy("id").agg(F.min("vector").alias("vector"))
     rows = stored(one.withColumn("copy_key", F.struct(F.xxhash64("vector"), F.hash("vector"))), "vectors")
-    groups = rows.groupBy("copy_key").agg(F.min("id").alias("rep"))
-    reps = stored(rows.join(groups.select("rep"), rows["id"] == groups["rep"], "left_semi").select("id", "vector"), "distinct")
-    n = reps.count()
-    depth = max(0, math.ceil(math.log2(max(1, n) / shard_rows)))
-    sample = [r[0] for r in hash_sample(reps, "id", n, sample_rows).select("vector").collect()]
-    router = Router(_unit(np.array(sample, np.float64)), min(depth, max(0, int(math.log2(max(1, len(sample)) / 8)))))
-
-    def home(batches):
+    several = stored(rows.groupBy("copy_key").agg(F.count("*").alias("n"), F.min("id").alias("rep")).where("n > 1"), "several")
+    copies = stored(rows.select("id", "copy_key").join(several, "copy_key").select("id", "rep"), "copies")
+    # the first k + 1 ids of a group are all that any list can take of it
+    few = copies.withColumn("n", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(f"n <= {k + 1}")
+    few = few.groupBy("rep").agg(F.collect_list("id").alias("ids"))
+    reps = rows.join(copies, "id", "left").where("rep is null or rep = id").select("id", "vector").join(few.withColumnRenamed("rep", "id"), "id", "left")
+    n = rows.count() - copies.count() + several.count()
+
+    router = _fitted(reps, n, dim, shard_rows, sample_rows, seed)
+    slots, low = k + 2, least - 1e-6  # what single precision may put in the wrong order or under the bound is settled in double
+
+    def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _unit(_matrix(batch.column("vector")))
-            who, shard = router.shards(x, np.full(len(x), 0.0))
-            at = np.zeros(len(x), np.int64)
-            at[who] = shard
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vector"), pa.array(at)], ["id", "vector", "shard"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_homes(router, batch, dim))], ["id", "vector", "ids", "shard"])
+
+    def names(table: pa.Table) -> pa.ListArray:
+        ids, more = table.column("id").combine_chunks(), table.column("ids").combine_chunks()
+        single = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1), pa.int32()), ids)
+        return pa.compute.coalesce(more, single)
 
     def inside(table: pa.Table) -> pa.Table:
-        x, ids = _unit(_matrix(table.column("vector"))), table.column("id").combine_chunks()
-        best, residents = Best(len(x), k, least), Best(len(x), k, least)
-        Tree(x, leaf_rows).search(x, k, factor, best, residents, True)
-        a, b, s = (np.concatenate(p) for p in zip(best.pairs(), residents.pairs()))
+        exact = _unit(table.column("vector"), dim)
+        x = exact.astype(np.float32)
+        m = len(x)
+        best, residents = Best(m, slots, low), Best(m, slots, low)
+        Tree(x, leaf_rows).search(x, factor, best, residents, True)
+        a, b = (np.concatenate(p) for p in zip(best.pairs(), residents.pairs()))
+        both = np.unique(a * np.int64(m) + b)
+        a, b = both // m, both % m
+        copied = np.flatnonzero(table.column("ids").combine_chunks().is_valid().to_numpy(zero_copy_only=False))
+        s = np.concatenate((_cosines(exact, exact, a, b), np.ones(len(copied))))
+        others, similarities = _lists(m, np.concatenate((a, copied)), s, names(table).take(pa.array(np.concatenate((b, copied)))))
         floor = np.maximum(best.floor, residents.floor)
-        own = table.column("shard").to_numpy()
         who, shard = router.shards(x, factor * _distance(floor))
-        away = shard != own[who]
+        away = shard != table.column("shard").to_numpy()[who]
         who, shard = who[away], shard[away]
-        by, order = np.argsort(a, kind="stable"), np.argsort(who, kind="stable")
-        met = np.bincount(a, minlength=len(x))
-        return pa.table({"id": ids, "vector": table.column("vector"), "shard": table.column("shard"), "floor": pa.array(floor, pa.float32()), "visits": _lists(shard[order], np.bincount(who, minlength=len(x))), "others": _lists_of(ids.take(pa.array(b[by])), met), "similarities": _lists(s[by].astype(np.float32), met)})
-
-    def _lists_of(values: pa.Array, sizes: np.ndarray) -> pa.Array:
-        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], sizes.cumsum())), pa.int32()), values)
+        visits = pa.ListArray.from_arrays(_offsets(np.bincount(who, minlength=m)), pa.array(shard[np.argsort(who, kind="stable")]))
+        return pa.table([table.column("id"), table.column("vector"), table.column("ids"), table.column("shard"), pa.array(floor, pa.float32()), visits, others, similarities], ["id", "vector", "ids", "shard", "floor", "visits", "others", "similarities"])
 
     def across(residents_: pa.Table, visitors_: pa.Table) -> pa.Table:
-        x, q = _unit(_matrix(residents_.column("vector"))), _unit(_matrix(visitors_.column("vector")))
-        mine, theirs = visitors_.column("id").combine_chunks(), residents_.column("id").combine_chunks()
-        best, residents = Best(len(q), k, least), Best(len(x), k, least)
-        if len(q):
-            best.floor[:] = visitors_.column("floor").to_numpy()
-            residents.floor[:] = residents_.column("floor").to_numpy()
-            Tree(x, leaf_rows).search(q, k, factor, best, residents, False)
-        return pa.concat_tables([_as_table(mine, theirs, best.pairs()), _as_table(theirs, mine, residents.pairs())])
-
-    housed = reps.mapInArrow(home, "id string, vector array<float>, shard long")
-    state = "id string, vector array<float>, shard long, floor float, visits array<long>, others array<string>, similarities array<float>"
+        if not residents_.num_rows or not visitors_.num_rows:
+            return pa.table([pa.array([], t) for t in (pa.string(), pa.list_(pa.string()), pa.list_(pa.float64()))], ["id", "others", "similarities"])
+        ex, eq = _unit(residents_.column("vector"), dim), _unit(visitors_.column("vector"), dim)
+        x, q = ex.astype(np.float32), eq.astype(np.float32)
+        best, residents = Best(len(q), slots, low), Best(len(x), slots, low)
+        best.floor[:] = visitors_.column("floor").to_numpy()
+        residents.floor[:] = residents_.column("floor").to_numpy()
+        Tree(x, leaf_rows).search(q, factor, best, residents, False)
+        out = []
+        for mine, theirs, (a, b), u, v in ((visitors_, residents_, best.pairs(), eq, ex), (residents_, visitors_, residents.pairs(), ex, eq)):
+            others, similarities = _lists(len(u), a, _cosines(u, v, a, b), names(theirs).take(pa.array(b)))
+            some = pa.array(np.bincount(a, minlength=len(u)) > 0)
+            out.append(pa.table([mine.column("id").combine_chunks(), others, similarities], ["id", "others", "similarities"]).filter(some))
+        return pa.concat_tables(out)
+
+    housed = reps.select("id", "vector", "ids").mapInArrow(home, "id string, vector array<float>, ids array<string>, shard long")
+    state = "id string, vector array<float>, ids array<string>, shard long, floor float, visits array<long>, others array<string>, similarities array<double>"
     first = stored(housed.groupBy("shard").applyInArrow(inside, state), "shards")
-    met = first.select("id", F.explode(F.arrays_zip("others", "similarities")).alias("p")).select("id", F.col("p.others").alias("other"), F.col("p.similarities").alias("similarity"))
-    goes = first.select("id", "vector", "floor", F.explode("visits").alias("shard"))
-    most = goes.groupBy("shard").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    if most:
-        parts = -(-most // visitors)
-        goes = goes.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)))
-        stay = first.select("id", "vector", "floor", "shard", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-        far = stay.withColumn("part", F.col("part").cast("long")).groupBy("shard", "part").cogroup(goes.groupBy("shard", "part")).applyInArrow(lambda a, b: across(a, b), PAIRS)
-        met = met.unionByName(far)
-    once = met.groupBy("id", "other").agg(F.max("similarity").alias("similarity"))
-    top = once.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "other"))).where(f"n <= {k}")
-    return _with_copies(rows, groups, top.select("id", "other", "similarity"), k, least)
-
-
-def _with_copies(rows: DataFrame, groups: DataFrame, top: DataFrame, k: int, least: float) -> DataFrame:
-    """From the partners of one vector of each group of equal ones to those of every id."""
-    member = rows.select("id", "copy_key").join(groups, "copy_key").select("rep", "id")
-    # the first k + 1 ids of a group are all that any list can take of it
-    few = member.withColumn("n", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(f"n <= {k + 1}")
-    others = top.select(F.col("id").alias("of"), F.col("other").alias("rep"), "similarity").join(few.select("rep", F.col("id").alias("other")), "rep").select("of", "other", "similarity")
-    copied = few.join(few.where("n = 2").select("rep"), "rep", "left_semi").where(F.lit(1.0) >= least)
-    own = copied.select(F.col("rep").alias("of"), F.col("id").alias("other"), F.lit(1.0).cast("float").alias("similarity"))
-    by = [F.desc("similarity"), F.col("other")]
-    listed = others.unionByName(own).withColumn("n", F.row_number().over(Window.partitionBy("of").orderBy(*by))).where(f"n <= {k + 1}")
-    each = member.join(listed, member["rep"] == listed["of"]).where("id <> other").select("id", "other", "similarity")
-    ranked = each.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(*by)))
-    return ranked.where(f"rank <= {k}")
+    goes = first.select(*(F.col(c).alias(c) for c in ("id", "vector", "ids", "floor")), F.explode("visits").alias("shard"))
+    visited = {r[0]: r[1] for r in goes.groupBy("shard").count().collect()}  # a row a shard
+    met = first.select("id", "others", "similarities")
+    if visited:
+        many = vectors.sparkSession.createDataFrame([(shard, -(-n // visitors)) for shard, n in visited.items()], "shard long, parts long")
+        goes = goes.join(many, "shard").withColumn("part", F.pmod(F.xxhash64("id"), "parts"))
+        stay = first.select("id", "vector", "ids", "floor", "shard").join(many, "shard").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        met = met.unionByName(stay.drop("parts").groupBy("shard", "part").cogroup(goes.drop("parts").groupBy("shard", "part")).applyInArrow(across, LISTS))
+    # a row of its own shard, one of each it visits and one of each task that visits its shard
+    gathered = met.groupBy("id").agg(F.flatten(F.collect_list("others")).alias("others"), F.flatten(F.collect_list("similarities")).alias("similarities"))
+    lists = gathered.mapInArrow(lambda batches: (_best_of(batch, k + 1, least) for batch in batches), LISTS)
+    twins = copies.where("id <> rep").join(lists.withColumnRenamed("id", "rep"), "rep").select("id", "others", "similarities")
+    each = lists.unionByName(twins).select("id", F.arrays_zip(F.col("others").alias("other"), F.col("similarities").alias("similarity")).alias("p"))
+    each = each.select("id", F.posexplode(F.slice(F.filter("p", lambda x: x["other"] != F.col("id")), 1, k)).alias("rank", "p"))
+    return each.select("id", F.col("p.other").alias("other"), F.col("p.similarity").alias("similarity"), (F.col("rank") + 1).alias("rank"))
+
+
+def _homes(router: Router, batch: pa.RecordBatch, dim: int) -> np.ndarray:
+    x = _unit(batch.column("vector"), dim).astype(np.float32)
+    who, shard = router.shards(x, np.zeros(len(x)))
+    at = np.zeros(len(x), np.int64)
+    at[who] = shard
+    return at
+
+
+def _fitted(reps: DataFrame, n: int, dim: int, shard_rows: int, sample_rows: int, seed: int) -> Router:
+    """The top of the tree over n vectors, grown until no shard is too large; it knows which shards hold any."""
+    rng = np.random.default_rng(seed)
+    router = Router(dim)
+    sizes = {0: n}
+    stuck: set[int] = set()
+    while True:
+        large = {shard: size for shard, size in sizes.items() if size > (2 if len(sizes) > 1 else 1) * shard_rows and shard not in stuck}
+        if not large:
+            break
+        total = sum(large.values())
+
+        def routed(batches: Iterator[pa.RecordBatch], router=router) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vector"), pa.array(_homes(router, batch, dim))], ["id", "vector", "shard"])
+
+        schema = "id string, vector array<float>, shard long"
+        here = reps.select("id", "vector").mapInArrow(routed, schema).where(F.col("shard").isin(list(large)))
+        sample = hash_sample(here, "id", total, sample_rows).select("shard", "vector").toArrow()
+        shards, x = sample.column("shard").to_numpy(), _unit(sample.column("vector"), dim).astype(np.float32)
+        for shard, size in large.items():
+            part = x[shards == shard]
+            router.grow(shard, part, min(math.ceil(math.log2(size / shard_rows)), int(math.log2(max(1, len(part) / 8)))), rng)
+            if router.child[shard, 0] < 0 and len(part) >= min(16, size):
+                stuck.add(shard)
+        if all(router.child[shard, 0] < 0 for shard in large):
+            break
+        sizes = {r[0]: r[1] for r in reps.select("id", "vector").mapInArrow(routed, schema).groupBy("shard").count().collect()}  # a row a shard
+    router.held[:] = False
+    router.held[list(sizes)] = True
+    return router
 
 
 def similar_pairs(lists: DataFrame) -> DataFrame:
