@@ -205,7 +205,7 @@ def usable(vector: Column, dim: int) -> Column:
     return vector.isNotNull() & (F.size(vector) == dim) & finite & F.exists(vector, lambda x: x != 0)
 
 
-def nearest(vectors: DataFrame, id_col: str = "id", vector_col: str = "vector", *, dim: int = 64, k: int = 10, least: float = -1.0, factor: float = 0.2, shard_rows: int = 8192, sample_rows: int = 16384, leaf_rows: int = 256, visitors: int = 40_000, seed: int = 0) -> DataFrame:
+def nearest(vectors: DataFrame, id_col: str = "id", vector_col: str = "vector", *, dim: int = 64, k: int = 10, least: float = -1.0, factor: float = 0.1, shard_rows: int = 8192, sample_rows: int = 16384, leaf_rows: int = 256, visitors: int = 40_000, seed: int = 0) -> DataFrame:
     """(id, other, similarity, rank): for every usable vector the k other ids most similar to it, of cosine at least `least`.
 
     Usable: `dim` finite values, not all zero.  Null ids and all other rows are left out.  Rows of one id are one
