@@ -91,12 +91,35 @@ def test_overlaps_of_short_texts(spark):
 def test_large_sets_share_a_block():
     rng = np.random.default_rng(3)
     n, both = 250_000, 214_286
-    for _ in range(6):
+    for _ in range(3):
         x = np.unique(rng.integers(-(2**63), 2**63 - 1, 2 * n - both))
         rng.shuffle(x)
         a, b = np.sort(x[:n]), np.sort(x[n - both :])
-        keys = [set(simhash.encode(v, np.array([len(v)]), 0.75, beside)[1].tolist()) for v, beside in ((a, 1), (b, 0))]
-        assert keys[0] & keys[1]
+        (ca, ka), (cb, kb) = (simhash.fingerprints(v, np.array([len(v)]), simhash.tables(0.75, 1e-5)) for v in (a, b))
+        assert (ka == kb).any() and (int(ca[0] ^ cb[0]) & (1 << 64) - 1).bit_count() <= simhash.radius(0.75, 1e-5)
+
+
+@pytest.mark.parametrize("n, both", [(7, 6), (14, 12), (70, 60), (700, 600)])
+def test_agreement_is_the_likeness(n, both):
+    """Over many pairs of sets of one likeness, blocks and bits agree as often as the number of tables and the radius suppose."""
+    rng = np.random.default_rng(n)
+    tried, t = 1500, simhash.tables(0.75, 1e-5)
+    whole = rng.integers(-(2**63), 2**63 - 1, (tried, 2 * n - both))
+    (ca, ka), (cb, kb) = (simhash.fingerprints(np.sort(x, axis=1).ravel(), np.full(tried, x.shape[1]), t) for x in (whole[:, :n], whole[:, n - both :]))
+    like = both / (2 * n - both)
+    assert abs((ka == kb).mean() - like**simhash.SAMPLES) < 0.02 and (ka == kb).any(1).mean() > 0.998
+    differ = np.array([int(x).bit_count() for x in (ca ^ cb).view(np.uint64)])
+    assert abs(differ.mean() / simhash.CODE - (1 - like) / 2) < 0.02
+
+
+def test_hot_blocks_are_split(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT", 20)
+    rows = corpus(4, 150)
+    s = sets(rows)
+    train = {r[0] for r in rows if r[1].strip().lower() == "train"}
+    want = {(a, b) for a in s if a not in train for b in s if b in train and jaccard(s[a], s[b]) >= 0.75}
+    got = simhash.cross_split_overlaps(spark.createDataFrame(rows, SCHEMA), words=3, threshold=0.75).select("eval_id", "train_id").collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
 
 
 def test_empty_and_hot(spark):
