@@ -53,6 +53,11 @@ def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sampled(spark, sf_dir)[1]
 
 
+def p4_needs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of the report is counted, not fitted."""
+    return _sampled(spark, sf_dir)[1].drop("taken", "gap")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.same_looking_pairs(_reader(spark, sf_dir)("source_rows"))
 

@@ -16,6 +16,24 @@ def test_rake_meets_margins():
     assert np.allclose(np.bincount(a, have * w), [40, 60]) and np.allclose(np.bincount(b, have * w), [45, 55])
 
 
+def test_rake_keeps_margins_when_a_cell_is_empty():
+    """A cell without rows: the others of its profession and gender make up for it, as far as they have rows."""
+    a, b = np.array([0, 0, 1, 1]), np.array([0, 1, 0, 1])
+    have = np.array([100.0, 0, 100, 100])
+    got = have * raking.rake(have, np.array([30.0, 10, 15, 45]), [a, b])
+    assert np.allclose(got, [40, 0, 5, 55], atol=1e-6)
+    tight = np.array([100.0, 4, 100, 60])
+    got = tight * raking.rake(tight, np.array([30.0, 10, 15, 45]), [a, b])
+    assert (got <= tight + 1e-9).all() and np.allclose(np.bincount(a, got), [40, 60], atol=1e-6)
+
+
+def test_quotas_are_the_rounded_targets():
+    request = np.array([0, 0, 0, 1, 1])
+    got = raking.quotas(np.array([10.4, 5.3, 4.3, 2.5, 2.5]), request, np.array([20, 5]), np.array([50, 50, 50, 2, 9]))
+    assert got.tolist() == [10, 5, 5, 2, 3] or got.tolist() == [11, 5, 4, 2, 3]
+    assert got[:3].sum() == 20 and got[3:].sum() == 5
+
+
 def test_repair_fills_minimums():
     got = raking.repair(np.array([10, 0, 5]), np.array([0, 3, 5]), np.array([20, 2, 9]), np.array([8.0, 2, 5]))
     assert got.tolist() == [8, 2, 5]
@@ -33,7 +51,7 @@ def test_sample(spark):
     out = {(r["request_id"], r["profession"], r["gender"]): r for r in report.collect()}
     assert not out[2, "nurse", "male"]["met"] and out[2, "nurse", "male"]["taken"] == out[2, "nurse", "male"]["available"]
     assert not out[3, "dj", "male"]["met"] and out[4, "dj", "male"]["met"] and not out[2, None, "male"]["met"]
-    assert out[1, "nurse", "female"]["taken"] >= 5 and abs(out[1, "nurse", "male"]["taken"] - 20) < 10
+    assert out[1, "nurse", "female"]["taken"] >= 5 and out[1, "nurse", "male"]["taken"] == 20 and out[1, "dj", "male"]["taken"] == 10
     assert {(r, i) for r, i in picked} == {(r["request_id"], r["id"]) for r in raking.balanced_sample(*frames)[0].collect()}
     assert raking.balanced_sample(frames[0].limit(0), *frames[1:])[0].count() == 0
     assert raking.balanced_sample(frames[0], frames[1], frames[2].limit(0))[1].count() == 0
