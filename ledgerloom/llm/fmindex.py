@@ -219,24 +219,24 @@ def leaked_spans(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", tex
             start, item = phrases_of(item_words, item_sizes, phrase)
             names = np.array(ids, object)
 
-            def search(keys: list, texts: list) -> pa.RecordBatch:
-                words, sizes = textform.hash_batch(texts)
+            def search(keys: list, parts: list) -> pa.RecordBatch:
+                words, sizes = np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
                 d, i, first, end = find_in_shard(words, sizes, item_words, start, item, phrase)
                 return pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.int64)[d]), pa.array(names[i], pa.string()), pa.array(first.astype(np.int32)), pa.array(end.astype(np.int32))], ["doc_id", "item_id", "first_word", "end_word"])
 
             keys: list = []
-            texts: list = []
+            parts: list = []
             size = 0
             for batch in batches:
                 for key, text in zip(batch.column("k").to_pylist(), batch.column("t").to_pylist()):
                     keys.append(key)
-                    texts.append(text)
-                    size += text.count(" ") + 2
+                    parts.append(np.fromiter(textform.word_hashes(text), np.uint64))
+                    size += len(parts[-1]) + 1
                     if size >= shard_words:
-                        yield search(keys, texts)
-                        keys, texts, size = [], [], 0
+                        yield search(keys, parts)
+                        keys, parts, size = [], [], 0
             if keys:
-                yield search(keys, texts)
+                yield search(keys, parts)
 
         usable = docs.select(F.col(doc_col).cast("long").alias("k"), F.col(text_col).alias("t")).where("k is not null and t is not null")
         found = found.unionByName(usable.mapInArrow(run, SPANS))
