@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,19 +32,24 @@ def _long(results: DataFrame, metrics: list[str]) -> DataFrame:
     return results.select(*CONTEXT, *FACTORS, *(F.col(m).cast("double").alias(m) for m in metrics)).unpivot([*CONTEXT, *FACTORS], metrics, "metric", "value")
 
 
-def _finish(pairs: DataFrame, kind: str, factor: str, held: list[str], n_to: int) -> DataFrame:
+def _finish(pairs: DataFrame, kind: str, n_to: int) -> DataFrame:
+    """pairs: factor, levels, CONTEXT, language_model, fixed_context, metric and the two values."""
     minimize = F.col("metric").endswith("_difference")
     delta = F.col("to_metric_value") - F.col("from_metric_value")
     improvement = F.when(minimize, -delta).otherwise(delta)
     outcome = F.when(improvement.isNull(), "undefined").when(improvement > 0, "improved").when(improvement < 0, "worsened").otherwise("tied")
-    model = F.lit(NOT_APPLICABLE) if factor == "language_model" else F.col("language_model")
-    made = pairs.select(
-        F.lit(kind).alias("contrast_type"), F.lit(factor).alias("factor"), F.col("from_factor_value").cast("string"), F.col("to_factor_value").cast("string"), *CONTEXT,
-        model.alias("language_model"), F.to_json(F.struct(*sorted(held))).alias("fixed_context"), "metric", F.when(minimize, "minimize").otherwise("maximize").alias("direction"),
+    return pairs.select(
+        F.lit(kind).alias("contrast_type"), "factor", F.col("from_factor_value").cast("string"), F.col("to_factor_value").cast("string"), *CONTEXT,
+        F.when(F.col("factor") == "language_model", NOT_APPLICABLE).otherwise(F.col("language_model")).alias("language_model"), "fixed_context",
+        "metric", F.when(minimize, "minimize").otherwise("maximize").alias("direction"),
         "from_metric_value", "to_metric_value", delta.alias("delta"), improvement.alias("improvement"), outcome.alias("outcome"),
         F.lit(1).alias("from_condition_count"), F.lit(n_to).alias("to_condition_count"),
-    )
-    return made.select(*DETAIL)
+    ).select(*DETAIL)
+
+
+def _fixed(held: list[str]) -> Column:
+    """What a contrast holds, as JSON that is equal for equal values."""
+    return F.to_json(F.struct(*sorted(held)), {"ignoreNullFields": "false"})
 
 
 def _one(df: DataFrame, message: str) -> None:
@@ -54,32 +57,48 @@ def _one(df: DataFrame, message: str) -> None:
         raise ValueError(message)
 
 
-def strict_contrasts(results: DataFrame, config: dict[str, list], *, check: bool = True) -> list[DataFrame]:
-    """For each factor with at least two levels, every pair of levels (in configured order) of otherwise equal conditions."""
-    metrics = metric_columns(results)
-    out = []
-    for factor, values in levels(config).items():
-        if len(values) < 2:
-            continue
-        held = [c for c in (*CONTEXT, *FACTORS) if c != factor]
-        kind = dict(results.dtypes)[factor]
-        order = results.sparkSession.createDataFrame(list(enumerate(values)), f"_at int, {factor} {'int' if kind == 'int' else 'bigint' if kind == 'bigint' else 'string'}")
-        there = results.join(F.broadcast(order), factor)
-        if check:
-            _one(there.groupBy(*held, factor).count().where("count > 1"), f"{factor}: two rows for one condition")
-            sizes = there.groupBy(*held).agg(F.count("*").alias("n")).where(F.col("n") != len(values))
-            _one(sizes, f"{factor}: a condition has no partner")
-        rows = _long(there, metrics).join(F.broadcast(order), factor)
-        a = rows.select(*held, "metric", F.col(factor).alias("from_factor_value"), F.col("value").alias("from_metric_value"), F.col("_at").alias("_a"))
-        b = rows.select(*held, "metric", F.col(factor).alias("to_factor_value"), F.col("value").alias("to_metric_value"), F.col("_at").alias("_b"))
-        out.append(_finish(a.join(b, [*held, "metric"]).where("_a < _b"), "single_factor", factor, held, 1))
-    return out
+def _require_metrics(results: DataFrame) -> list[str]:
+    """The metric columns; fails without any, and without a column that the contrasts read."""
+    if missing := [c for c in (*CONTEXT, *FACTORS) if c not in results.columns]:
+        raise ValueError(f"columns are missing: {', '.join(missing)}")
+    if not (metrics := metric_columns(results)):
+        raise ValueError("there is no metric to contrast")
+    return metrics
+
+
+def strict_contrasts(results: DataFrame, config: dict[str, list], *, check: bool = True) -> DataFrame:
+    """For each factor with at least two levels, every pair of levels (in configured order) of otherwise equal conditions.
+
+    Every condition stands once for each factor, with its level and all that is held; one join pairs them."""
+    metrics = _require_metrics(results)
+    roles = []
+    sizes = {f: len(values) for f, values in levels(config).items() if len(values) > 1}
+    for factor in sizes:
+        at = F.lit(None).cast("int")
+        for i, value in enumerate(levels(config)[factor]):
+            at = F.when(F.col(factor) == value, i).otherwise(at)
+        roles.append(F.struct(F.lit(factor).alias("factor"), at.alias("at"), F.col(factor).cast("string").alias("level"), _fixed([c for c in (*CONTEXT, *FACTORS) if c != factor]).alias("fixed_context")))
+    if not roles:
+        return _finish(results.select(*CONTEXT, "language_model", *(F.lit("").alias(c) for c in ("factor", "from_factor_value", "to_factor_value", "fixed_context", "metric")), *(F.lit(0.0).alias(c) for c in ("from_metric_value", "to_metric_value"))).where(F.lit(False)), "single_factor", 1)
+    there = results.withColumn("role", F.explode(F.array(*roles))).where("role.at is not null")
+    if check:
+        wanted = F.create_map(*(F.lit(x) for pair in sizes.items() for x in pair))[F.col("factor")]
+        per = there.groupBy("role.factor", "role.fixed_context").agg(F.count("*").alias("n"), F.count_distinct("role.at").alias("levels"))
+        wrong = per.where((F.col("n") > F.col("levels")) | (F.col("levels") != wanted)).first()
+        if wrong is not None:
+            raise ValueError(f"{wrong['factor']}: " + ("two rows for one condition" if wrong["n"] > wrong["levels"] else "a condition has no partner"))
+    rows = there.select(*CONTEXT, "language_model", "role.*", *(F.col(m).cast("double").alias(m) for m in metrics)).unpivot([*CONTEXT, "language_model", "factor", "at", "level", "fixed_context"], metrics, "metric", "value")
+    keys = ["factor", "fixed_context", "metric"]
+    a = rows.select(*CONTEXT, "language_model", *keys, F.col("level").alias("from_factor_value"), F.col("value").alias("from_metric_value"), F.col("at").alias("_a"))
+    b = rows.select(*keys, F.col("level").alias("to_factor_value"), F.col("value").alias("to_metric_value"), F.col("at").alias("_b"))
+    return _finish(a.join(b, keys).where("_a < _b"), "single_factor", 1)
 
 
 def zero_shot_contrasts(results: DataFrame, config: dict[str, list], *, check: bool = True) -> DataFrame | None:
     """Zero-shot conditions against the mean of the retrieval conditions at each count; None without zero-shot rows.
 
     A mean over an undefined value is undefined."""
+    metrics = _require_metrics(results)
     counts = levels(config)["example_count"]
     zero = results.where("example_count = 0")
     if not counts or not zero.limit(1).count():
@@ -94,11 +113,10 @@ def zero_shot_contrasts(results: DataFrame, config: dict[str, list], *, check: b
         spine = zero.select(*held).unionByName(few.select(*held)).distinct()
         _one(spine.join(zero, held, "left_anti"), "retrieval conditions without zero-shot")
         _one(spine.join(per.groupBy(*held).agg(F.count("*").alias("n")).where(F.col("n") == len(counts)), held, "left_anti"), "zero-shot without retrieval conditions at each count")
-    metrics = metric_columns(results)
     mean = _mean_in_order(F.col("value"), [c for c in FACTORS if c not in held and c != "example_count"])
     a = _long(zero, metrics).select(*held, "metric", F.lit(0).alias("from_factor_value"), F.col("value").alias("from_metric_value"))
     b = _long(few, metrics).groupBy(*held, "metric", "example_count").agg(mean.alias("to_metric_value")).withColumnRenamed("example_count", "to_factor_value")
-    return _finish(a.join(b, [*held, "metric"]), "zero_shot_to_few_shot", "example_count", held, grid)
+    return _finish(a.join(b, [*held, "metric"]).withColumns({"factor": F.lit("example_count"), "fixed_context": _fixed(held)}), "zero_shot_to_few_shot", grid)
 
 
 def _mean_in_order(value: Column, order: list[str]) -> Column:
@@ -109,7 +127,8 @@ def _mean_in_order(value: Column, order: list[str]) -> Column:
 def contrast_details(results: DataFrame, config: dict[str, list], *, check: bool = True) -> DataFrame:
     results = pinned(results)
     zero = zero_shot_contrasts(results, config, check=check)
-    return reduce(DataFrame.unionByName, [*strict_contrasts(results, config, check=check), *([zero] if zero is not None else [])])
+    strict = strict_contrasts(results, config, check=check)
+    return strict if zero is None else strict.unionByName(zero)
 
 
 def contrast_summary(details: DataFrame) -> DataFrame:
@@ -128,7 +147,8 @@ def contrast_summary(details: DataFrame) -> DataFrame:
         mean("delta").alias("mean_delta"), F.stddev_samp("delta").alias("std_delta"), tally("improved").alias("n_improved"), tally("tied").alias("n_tied"), tally("worsened").alias("n_worsened"),
         (tally("improved") / F.nullif(F.count("delta").cast("double"), F.lit(0.0))).alias("improvement_rate"),
     ]
-    overall = details.groupBy(*keys).agg(*values).select("*", F.lit("overall").alias("aggregation_scope"), F.lit(NOT_APPLICABLE).alias("scope_language_model"))
-    by_model = details.where("factor <> 'language_model'").groupBy(*keys, "language_model").agg(*values)
-    by_model = by_model.withColumnRenamed("language_model", "scope_language_model").withColumn("aggregation_scope", F.lit("language_model"))
-    return overall.select(*SUMMARY).unionByName(by_model.select(*SUMMARY))
+    model = F.col("language_model")
+    scopes = F.array(F.struct(F.lit("overall").alias("scope"), F.lit(NOT_APPLICABLE).alias("model")), F.struct(F.lit("language_model").alias("scope"), model.alias("model")))
+    each = details.withColumn("_s", F.explode(F.when(F.col("factor") == "language_model", F.slice(scopes, 1, 1)).otherwise(scopes)))
+    keys = [*keys, F.col("_s.scope").alias("aggregation_scope"), F.col("_s.model").alias("scope_language_model")]
+    return each.groupBy(*keys).agg(*values).select(*SUMMARY)

@@ -15,15 +15,19 @@ from ..functions.values import both, ordered_mean, rate, value_range, value_rati
 from ..schema import CONDITION, COUNTS, FAIRNESS, RATES
 
 
-def last_predictions(predictions: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """One prediction for each condition and query: that of the last run, then the last made."""
-    rest = [c for c in predictions.columns if c not in keys]
+def last_predictions(predictions: DataFrame, keys: list[str], order: list[str], columns: list[str] | None = None) -> DataFrame:
+    """One prediction for each condition and query: that of the last run, then the last made, then the largest by what is kept.
+
+    columns: what is kept beside keys and order (all without it); only that is read and shuffled."""
+    rest = [c for c in predictions.columns if c not in keys and (columns is None or c in order or c in columns)]
     ordered = [*order, *(c for c in rest if c not in order)]
     return predictions.groupBy(*keys).agg(F.max(F.struct(*ordered)).alias("r")).select(*keys, *(f"r.{c}" for c in rest))
 
 
 def validate(predictions: DataFrame, labels: list[str], condition: list[str] = CONDITION) -> None:
     """Fails without rows or columns, on nulls, and on labels that aren't configured."""
+    if not labels or len(set(labels)) < len(labels):
+        raise ValueError("labels are empty or repeated")
     need = [*condition, "true_label", "predicted_label", "audit_group"]
     if missing := [c for c in need if c not in predictions.columns]:
         raise ValueError(f"columns are missing: {', '.join(missing)}")

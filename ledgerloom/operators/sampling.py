@@ -9,24 +9,38 @@ from ..functions.text import label
 from ..schema import GENDERS, PROFESSIONS
 
 
-def source_rows(rows: DataFrame, order_col: str | None = "loaded_at") -> DataFrame:
+def source_rows(rows: DataFrame, order_col: str | None = "loaded_at", *, columns: tuple[str, ...] | None = None) -> DataFrame:
     """One row an id, the last delivered; split, profession and gender in one spelling; `ordinal` from the id.
 
-    The split dev is named validation.  Rows with null id are left out."""
-    columns = [c for c in rows.columns if c not in ("id", "ordinal", order_col)]
+    columns: what is kept beside the id (all without it); only that is read and shuffled.  Of rows delivered at the same time
+    the largest by these columns counts.  The split dev is named validation.  Rows with null id are left out."""
+    kept = [c for c in rows.columns if c not in ("id", "ordinal", order_col) and (columns is None or c in columns)]
     at = F.col(order_col) if order_col in rows.columns else F.lit(0)
-    one = rows.where("id is not null").groupBy("id").agg(F.max(F.struct(at.alias("_at"), *columns)).alias("r")).select("id", *(f"r.{c}" for c in columns))
+    one = rows.where("id is not null").groupBy("id").agg(F.max(F.struct(at.alias("_at"), *kept)).alias("r")).select("id", *(f"r.{c}" for c in kept))
     split = F.lower(F.trim("split"))
-    return one.withColumns({
-        "split": F.when(split == "dev", "validation").otherwise(split), "profession": label(F.col("profession")), "gender": F.lower(F.trim("gender")),
-        "ordinal": F.try_element_at(F.split("id", ":"), F.lit(3)).cast("long"),
-    })
-
-
-def with_train_order(rows: DataFrame) -> DataFrame:
-    """rows with train_order counted from 0 in the order of the ordinals, null outside the training split."""
-    order = F.row_number().over(Window.partitionBy("split").orderBy("ordinal", "id")) - 1
-    return rows.withColumn("train_order", F.when(F.col("split") == "train", order))
+    spelt = {"split": F.when(split == "dev", "validation").otherwise(split), "profession": label(F.col("profession")), "gender": F.lower(F.trim("gender"))}
+    return one.withColumns({c: x for c, x in spelt.items() if c in kept} | {"ordinal": F.try_element_at(F.split("id", ":"), F.lit(3)).cast("long")})
+
+
+def with_train_order(rows: DataFrame, ranges: int | None = None) -> DataFrame:
+    """rows with train_order counted from 0 in the order of the ordinals, null outside the training split.
+
+    The ordinals are cut into ranges that hold about as many rows each; each is ranked by itself, from the number of rows before it."""
+    ranges = ranges or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    train = F.col("split") == "train"
+    shares = [i / ranges for i in range(1, ranges)]
+    bounds = rows.where(train).agg(F.percentile_approx("ordinal", F.array(*map(F.lit, shares)))).first()[0] if shares else None
+    bounds = sorted(set(bounds or []))
+    at = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.coalesce("ordinal", F.lit(-1)))) if bounds else F.lit(0)
+    ranged = rows.withColumn("_range", F.when(train, at))
+    before, sizes = {}, {r[0]: r[1] for r in ranged.where(train).groupBy("_range").count().collect()}  # a row a range
+    for i in sorted(sizes):
+        before[i] = sum(n for j, n in sizes.items() if j < i)
+    start = F.create_map(*(F.lit(x) for pair in before.items() for x in pair))[F.col("_range")] if before else F.lit(0)
+    # other rows are not ranked, so they are spread instead of sharing the null range
+    key = F.coalesce("_range", -1 - F.pmod(F.hash("id"), F.lit(ranges)))
+    order = F.row_number().over(Window.partitionBy(key).orderBy("ordinal", "id")) - 1 + start
+    return ranged.withColumn("train_order", F.when(train, order)).drop("_range")
 
 
 def of_professions(rows: DataFrame, professions: tuple[str, ...] = PROFESSIONS) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .functions import text, values
 from .operators import composition, contrasts, metrics, prompts, ranking, retrieval, sampling
 from .oracle import oracle_sql  # noqa: F401
-from .schema import NOT_APPLICABLE, PROFESSIONS
+from .schema import CONDITION, NOT_APPLICABLE, PROFESSIONS
 from .session import table
 
 LABELS = list(PROFESSIONS)
@@ -24,12 +24,14 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 
 def _rows(spark: SparkSession, d: str) -> DataFrame:
-    return sampling.of_professions(sampling.source_rows(table(spark, d, "source_rows")))
+    """Source rows without their texts."""
+    return sampling.of_professions(sampling.source_rows(table(spark, d, "source_rows"), columns=("split", "profession", "gender")))
 
 
 def _predictions(spark: SparkSession, d: str) -> DataFrame:
     """The last prediction of each condition and query, without outputs that are no label."""
-    one = metrics.last_predictions(table(spark, d, "predictions"), ["condition", "evaluation_split", "query_id"], ["run_no", "predicted_at"])
+    used = [*CONDITION, "true_label", "predicted_label", "audit_group"]
+    one = metrics.last_predictions(table(spark, d, "predictions"), ["condition", "evaluation_split", "query_id"], ["run_no", "predicted_at"], used)
     good = one.where("predicted_label is not null and true_label is not null and audit_group is not null")
     return good.withColumns({"target": F.lit("profession"), "audit_column": F.lit("gender"), "prediction_method": F.lit("generated_output")})
 
@@ -87,7 +89,7 @@ def fairness_metrics(spark, d):
 
 
 def _results(spark, d):
-    return metrics.results(_cells(spark, d), LABELS)
+    return metrics.results(_cells(spark, d).persist(), LABELS)  # read thrice; as many rows as conditions, groups and labels allow
 
 
 def condition_results(spark, d):
@@ -140,7 +142,8 @@ def contrast_summary(spark, d):
 
 def _pool(spark, d):
     v = retrieval.usable_vectors(table(spark, d, "train_vectors"), 64)
-    lengths = sampling.source_rows(table(spark, d, "source_rows")).select("id", F.length("hard_text").cast("long").alias("text_length"))
+    measured = table(spark, d, "source_rows").withColumn("text_length", F.length("hard_text").cast("long"))
+    lengths = sampling.source_rows(measured, columns=("split", "text_length")).select("id", "text_length")
     return v.join(lengths, "id", "left").withColumn("text_length", F.coalesce("text_length", F.lit(0)))
 
 
@@ -160,7 +163,7 @@ def balanced_topk(spark, d):
 
 
 def vector_problems(spark, d):
-    return retrieval.vector_problems(table(spark, d, "train_vectors"), sampling.source_rows(table(spark, d, "source_rows")), 64)
+    return retrieval.vector_problems(table(spark, d, "train_vectors"), sampling.source_rows(table(spark, d, "source_rows"), columns=("split", "profession", "gender", "train_order")), 64)
 
 
 def _selected(spark, d):
@@ -176,7 +179,7 @@ def ordered_examples(spark, d):
 
 
 def hydrated_examples(spark, d):
-    rows = sampling.source_rows(table(spark, d, "source_rows")).select("id", "hard_text")
+    rows = sampling.source_rows(table(spark, d, "source_rows"), columns=("split", "hard_text")).select("id", "hard_text")
     return retrieval.hydrate(table(spark, d, "retrieval_selections"), rows)
 
 
@@ -216,7 +219,7 @@ def benchmark_aggregate(spark, d):
 
 
 def group_quality_extra_volume(spark, d):
-    """The same metrics over lineitem: return flag as label, line status as group, ship mode as prediction's stand-in."""
+    """The same metrics over lineitem: return flag as label, line status as group, prediction by line number."""
     li = table(spark, d, "lineitem").select(F.lit("lineitem").alias("condition"), F.col("l_returnflag").alias("true_label"), F.col("l_linestatus").alias("audit_group"), F.when(F.col("l_linenumber") % 4 == 0, "N").otherwise(F.col("l_returnflag")).alias("predicted_label"))
     return metrics.audit_group_metrics(metrics.cells(li, ["condition"]), ["A", "N", "R"], ["condition"])
 
