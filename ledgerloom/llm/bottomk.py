@@ -50,13 +50,18 @@ def union_estimate(a: Column, b: Column, k: int) -> Column:
 
 
 def linked(sets: DataFrame, threshold: float, k: int) -> DataFrame:
-    """(a, b, likeness) of the numbers of the pairs of distinct sets of one key that are at least `threshold` alike."""
-    one = sets.select(F.col("number").alias("a"), F.col("key").alias("ka"), F.col("shingles").alias("sa"))
-    two = sets.select(F.col("number").alias("b"), F.col("key").alias("kb"), F.col("shingles").alias("sb"))
-    both = candidates(sets, threshold).join(one, "a").join(two, "b")
+    """(a, b, likeness) of the numbers of the pairs of distinct sets of one key that are at least `threshold` alike.
+
+    Candidates meet with their sketches; only what these leave is joined to the whole sets."""
+    short = sets.select("number", "key", F.slice("shingles", 1, k).alias("sketch"))  # ascending hashes, so these are the smallest
+    one = short.select(F.col("number").alias("a"), F.col("key").alias("ka"), F.col("sketch").alias("sa"))
+    two = short.select(F.col("number").alias("b"), F.col("key").alias("kb"), F.col("sketch").alias("sb"))
     least = threshold - 4 * (threshold * (1 - threshold) / k) ** 0.5  # four standard deviations of the estimate
-    near = both.where((F.col("ka") == F.col("kb")) & (union_estimate(F.col("sa"), F.col("sb"), k) >= least))
-    return near.select("a", "b", likeness(F.col("sa"), F.col("sb")).alias("likeness")).where(F.col("likeness") >= threshold)
+    both = candidates(sets, threshold).join(one, "a").join(two, "b")
+    near = stored(both.where((F.col("ka") == F.col("kb")) & (union_estimate(F.col("sa"), F.col("sb"), k) >= least)).select("a", "b"), "near")
+    whole = sets.select("number", "shingles")
+    met = near.join(whole.select(F.col("number").alias("a"), F.col("shingles").alias("xa")), "a").join(whole.select(F.col("number").alias("b"), F.col("shingles").alias("xb")), "b")
+    return met.select("a", "b", likeness(F.col("xa"), F.col("xb")).alias("likeness")).where(F.col("likeness") >= threshold)
 
 
 def near_duplicate_groups(rows: DataFrame, id_col: str = "id", text_col: str = "hard_text", key_col: str = "profession", order_col: str | None = "loaded_at", *, words: int = 5, threshold: float = 0.8, k: int = 32) -> DataFrame:
