@@ -62,6 +62,10 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.same_looking_pairs(_reader(spark, sf_dir)("source_rows"))
 
 
+def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike.same_looking_classes(_reader(spark, sf_dir)("source_rows"))
+
+
 def p5_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.with_form(_reader(spark, sf_dir)("source_rows").select("id", "loaded_at", "hard_text")).drop("hard_text")
 

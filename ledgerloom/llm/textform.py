@@ -1,10 +1,12 @@
 """One consistent form for equal-looking text, and the words and shingles cut from it.
 
-The form is computed by a longest-match transducer over grapheme clusters.  Its table is built once
-from four rule families (widths, accents, spaces and invisible characters, look-alike letters); building
-it fails if two families want different outputs for one input, or if an output is not itself stable.
+The form is computed by a longest-match transducer over grapheme clusters.  Its keys are letters with the accents that
+follow them, of one or more characters: each of Unicode's composed letters, its accents in any order, also behind a letter that looks
+like the plain one.  Widths and invisible characters are rules for single characters that it reads its input through.  Every state has an output for
+words with a Latin letter and one for others, as only the former take look-alike letters.  All is precomputed from four rule families (widths,
+accents, spaces and invisible characters, look-alikes); building fails if two want different outputs for one key, or if an output is not itself stable.
 A text is walked once, from one stretch of white space to the next; plain ASCII pieces pass as they are and
-the outputs of others are kept, as most come again.
+the outputs of others are kept, as most come again.  Accents that no composed letter has are put in Unicode's order behind their letter.
 
 Null text has no form (null); an empty text has the empty form.
 """
@@ -15,7 +17,7 @@ import html
 import re
 import unicodedata
 from collections.abc import Iterable
-from itertools import chain
+from itertools import chain, permutations
 
 import numpy as np
 import regex
@@ -89,20 +91,85 @@ def build_rules() -> tuple[dict[str, str], dict[str, str], str, str]:
 
 
 RULES, LATIN_RULES, BLANKS, SPACES = build_rules()
+INVISIBLE = frozenset(BLANKS)
+
+
+class Transducer:
+    """A trie over characters; each state has the outputs (in any word, in a word with a Latin letter) of the key that leads to it."""
+
+    def __init__(self, single: dict[str, str], latin: dict[str, str]) -> None:
+        self.single, self.latin = single, latin
+        self.next: list[dict[str, int]] = [{}]
+        self.output: list[tuple[str, str]] = [("", "")]
+        self.given: dict[str, tuple[str, str]] = {}
+
+    def add(self, key: str) -> None:
+        """A letter with accents, or one that looks like another; each of its beginnings is a key too."""
+        state = 0
+        for i, c in enumerate(key):
+            if (after := self.next[state].get(c)) is None:
+                after = self.next[state][c] = len(self.next)
+                self.next.append({})
+                self.output.append(("", ""))
+            state = after
+            start = key[: i + 1]
+            outputs = unicodedata.normalize("NFC", start), unicodedata.normalize("NFC", self.latin.get(start[0], start[0]) + start[1:])
+            if self.given.setdefault(start, outputs) != outputs or unicodedata.normalize("NFC", outputs[0]) != outputs[0]:
+                raise ValueError(f"two outputs for {start!r}")
+            self.output[state] = outputs
+
+    def read(self, cluster: str) -> tuple[str, str]:
+        """The outputs for a cluster, longest keys first; what is no key passes as it is."""
+        made: list[tuple[str, str]] = []
+        state, loose = 0, False
+        for c in cluster:
+            for x in self.single.get(c, c):
+                after = self.next[state].get(x)
+                if after is None:
+                    if state:
+                        made.append(self.output[state])
+                    after = self.next[0].get(x, 0)
+                    if not after:
+                        made.append((x, x))
+                        loose = loose or not x.isascii()
+                state = after
+        if state:
+            made.append(self.output[state])
+        plain, latin = ("".join(part) for part in zip(*made)) if made else ("", "")
+        return (unicodedata.normalize("NFC", plain), unicodedata.normalize("NFC", latin)) if loose else (plain, latin)
+
+
+def build_transducer(single: dict[str, str], latin: dict[str, str]) -> Transducer:
+    """From Unicode's canonical compositions: the letters they are of, look-alikes of these, and all orders of their accents."""
+    made = Transducer(single, latin)
+    alike: dict[str, list[str]] = {}
+    for source, target in latin.items():
+        made.add(source)
+        alike.setdefault(target, []).append(source)
+    for code in range(0xC0, 0x1_0000):
+        c = chr(code)
+        parts = unicodedata.normalize("NFD", c)
+        if len(parts) == 1 or unicodedata.normalize("NFC", parts) != c or 0xAC00 <= code <= 0xD7A3 or any(x in single for x in parts):
+            continue  # Hangul syllables are computed, not listed
+        for marks in {"".join(m) for m in permutations(parts[1:])}:
+            if unicodedata.normalize("NFC", parts[0] + marks) == c:
+                for base in (parts[0], *alike.get(parts[0], ())):
+                    made.add(base + marks)
+    return made
 
 
 _CLUSTER = regex.compile(r"\X")
 _SCRIPT_LATIN = regex.compile(r"\p{Latin}")
-_LATIN_LOOKALIKES = frozenset(c for c in LATIN_RULES if _SCRIPT_LATIN.match(c))
+TRANSDUCER = build_transducer(RULES, LATIN_RULES)
 
 
 class _Clusters(dict):
     """cluster -> (output in any word, output in a word with a Latin letter, part of a word?, holds a Latin letter?)"""
 
     def __missing__(self, cluster: str) -> tuple[str, str, bool, bool]:
-        parts = [RULES.get(c, c) for c in unicodedata.normalize("NFD", "".join(RULES.get(c, c) for c in cluster))]
-        plain = unicodedata.normalize("NFC", "".join(parts))
-        latin = unicodedata.normalize("NFC", "".join(LATIN_RULES.get(c, c) for c in "".join(parts)))
+        plain, latin = TRANSDUCER.read(cluster)
+        # composed look-alikes are taken apart for their letter
+        latin = latin if latin.isascii() else unicodedata.normalize("NFC", "".join(LATIN_RULES.get(c, c) for c in unicodedata.normalize("NFD", latin)))
         word = not plain or all(unicodedata.category(c)[0] in "LMN" for c in plain)
         is_latin = any(_SCRIPT_LATIN.match(c) for c in unicodedata.normalize("NFD", plain))
         if len(self) > 100_000:
@@ -123,8 +190,8 @@ def transduce(piece: str) -> str:
         out.extend(w[1 if any(x[3] for x in word) else 0] for w in word)
         word.clear()
 
-    # invisible characters go first, so that a mark behind one joins its letter
-    for cluster in _CLUSTER.findall("".join(c for c in piece if RULES.get(c) != "")):
+    # an invisible character can stand between a letter and its accent, which makes clusters of both
+    for cluster in _CLUSTER.findall(piece if INVISIBLE.isdisjoint(piece) else "".join(c for c in piece if c not in INVISIBLE)):
         found = _clusters[cluster]
         if found[2]:
             word.append(found)
@@ -132,7 +199,8 @@ def transduce(piece: str) -> str:
             close()
             out.append(found[0])
     close()
-    return unicodedata.normalize("NFC", "".join(out))
+    made = "".join(out)
+    return made if unicodedata.is_normalized("NFC", made) else unicodedata.normalize("NFC", made)
 
 
 class _Pieces(dict):
