@@ -8,6 +8,7 @@ from itertools import product
 from string import Formatter
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,9 +42,13 @@ def condition_grid(spark, models: list[str], methods: list[str], encoders: list[
 
 
 def fill(template: Column, target: str, audit: str, labels: list[str]) -> Column:
-    """A checked template with its placeholders replaced."""
-    for name, value in (("target", target), ("audit_column", audit), ("labels", ", ".join(labels))):
-        template = F.replace(template, F.lit("{" + name + "}"), F.lit(value))
+    """A checked template with its placeholders replaced, at once: a value that holds a placeholder stays as it is."""
+    given = {"target": target, "audit_column": audit, "labels": ", ".join(labels)}
+    marks = {name: f"\ue000{i}\ue001" for i, name in enumerate(given)}  # private characters, which no text shares
+    for name, mark in marks.items():
+        template = F.replace(template, F.lit("{" + name + "}"), F.lit(mark))
+    for name, value in given.items():
+        template = F.replace(template, F.lit(marks[name]), F.lit(value))
     return template
 
 
@@ -152,9 +157,10 @@ def encode(rows: DataFrame, make: Callable[[], Encoder], dim: int, text_col: str
         model = make()
         for frame in frames:
             vectors = model.encode(frame[text_col].tolist())
-            for v in vectors:
-                if len(v) != dim or not all(x == x and abs(x) != float("inf") for x in v) or not any(v):
-                    raise ValueError(f"the encoder must give {dim} finite values that are not all 0")
+            whole = len(vectors) == len(frame) and all(len(v) == dim for v in vectors)
+            x = np.array(vectors, np.float64).reshape(len(vectors), -1) if whole else np.empty(0)
+            if not whole or not np.isfinite(x).all() or not x.any(1).all():
+                raise ValueError(f"the encoder must give {dim} finite values that are not all 0 for every text")
             yield frame.assign(vector=vectors)
 
     return rows.sortWithinPartitions(F.length(text_col).desc()).mapInPandas(run, schema)

@@ -6,8 +6,6 @@ scores (to 12 decimals) go to the longer text, then to the smaller train_order."
 from __future__ import annotations
 
 import random
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -41,19 +39,6 @@ def vector_problems(vectors: DataFrame, rows: DataFrame, dim: int) -> DataFrame:
     return shape.join(match)  # one row each
 
 
-def _query_blocks(queries: DataFrame, block: int) -> Iterator[tuple[list[str], np.ndarray]]:
-    ids: list[str] = []
-    vectors: list = []
-    for row in queries.select("query_id", "vector").toLocalIterator():
-        ids.append(row[0])
-        vectors.append(row[1])
-        if len(ids) == block:
-            yield ids, np.array(vectors, np.float64)
-            ids, vectors = [], []
-    if ids:
-        yield ids, np.array(vectors, np.float64)
-
-
 def _best(q: np.ndarray, score: np.ndarray, length: np.ndarray, order: np.ndarray, group: np.ndarray, k: int) -> np.ndarray:
     """Places of the k best of each query and group."""
     by = np.lexsort((order, -length, -score, group, q))
@@ -63,50 +48,62 @@ def _best(q: np.ndarray, score: np.ndarray, length: np.ndarray, order: np.ndarra
     return by[np.arange(len(by)) - start < k]
 
 
-def candidates(pool: DataFrame, queries: DataFrame, k: int, *, per_pair: bool, block: int = 4096) -> DataFrame:
-    """The k nearest pool rows of each query, or of each profession and gender of each query, as each task finds them.
+def _score(pool: pa.Table, queries: pa.Table, k: int, per_pair: bool) -> pa.Table:
+    """The k best rows of a block of the pool for each query of a block, or of each profession and gender of it."""
+    names, matrix = queries.column("query_id").combine_chunks(), _matrix(queries)
+    matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
+    number = {x: i for i, x in enumerate(names.to_pylist())}
+    rows = pool.select(["id", "profession", "gender", "train_order", "text_length"]).to_pandas()
+    by = rows.sort_values(["train_order", "id"], kind="stable").index.to_numpy()  # settles what score and length leave equal
+    rows, x = rows.iloc[by].reset_index(drop=True), _matrix(pool)[by]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    pair = pd.factorize(rows["profession"].astype(str) + "|" + rows["gender"].astype(str))[0] if per_pair else np.zeros(len(rows), int)
+    length = rows["text_length"].to_numpy()
+    own = np.array([number.get(i, -1) for i in rows["id"]])
+    q, j, score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    for at in range(0, len(rows), 2048):
+        s = np.round(matrix @ x[at : at + 2048].T, 12)
+        here = np.flatnonzero(own[at : at + 2048] >= 0)
+        s[own[at + here], here] = -np.inf
+        found = []
+        for g in np.unique(pair[at : at + 2048]):
+            columns = np.flatnonzero(pair[at : at + 2048] == g)
+            part = s[:, columns]
+            least = np.partition(part, -k, axis=1)[:, -k, None] if len(columns) > k else -np.inf
+            a, c = np.nonzero((part >= least) & (part > -np.inf))
+            found.append((a, columns[c]))
+        a, c = (np.concatenate(f) for f in zip(*found))
+        q, j, score = np.concatenate((q, a)), np.concatenate((j, c + at)), np.concatenate((score, s[a, c]))
+        best = _best(q, score, length[j], j, pair[j], k)
+        q, j, score = q[best], j[best], score[best]
+    picked = pa.Table.from_pandas(rows.iloc[j], preserve_index=False).add_column(0, "query_id", names.take(pa.array(q)))
+    return picked.append_column("score", pa.array(score)).cast(pa.schema([("query_id", pa.string()), ("id", pa.string()), ("profession", pa.string()), ("gender", pa.string()), ("train_order", pa.int32()), ("text_length", pa.int64()), ("score", pa.float64())]))
+
+
+def _matrix(table: pa.Table) -> np.ndarray:
+    return table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(table.num_rows, -1)
+
+
+def candidates(pool: DataFrame, queries: DataFrame, k: int, *, per_pair: bool, query_rows: int = 4096, pool_rows: int = 32768) -> DataFrame:
+    """The k nearest pool rows of each query, or of each profession and gender of each query, as each pair of blocks has them.
 
     pool: id, profession, gender, train_order, text_length, vector; queries: query_id, vector.  A query never finds its own
-    id.  Queries are sent in blocks of `block` vectors; beyond one block the pool is read once for each."""
-    out = pool.sparkSession.createDataFrame([], FOUND)
-    for ids, matrix in _query_blocks(queries, block):
-        matrix = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
-        sent = pool.sparkSession.sparkContext.broadcast((ids, matrix))
-
-        def score(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, matrix = sent.value
-            names = pa.array(ids)
-            number = {x: i for i, x in enumerate(ids)}
-            kept: pd.DataFrame | None = None
-            for whole in batches:
-                for at in range(0, whole.num_rows, 2048):
-                    batch = whole.slice(at, 2048)
-                    rows = batch.select(["id", "profession", "gender", "train_order", "text_length"]).to_pandas()
-                    x = batch.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1)
-                    s = np.round(matrix @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T, 12)
-                    for j, own in enumerate(rows["id"]):
-                        if own in number:
-                            s[number[own], j] = -np.inf
-                    groups = pd.factorize(rows["profession"].astype(str) + "|" + rows["gender"].astype(str))[0] if per_pair else np.zeros(len(rows), int)
-                    found = []
-                    for g in np.unique(groups):
-                        columns = np.flatnonzero(groups == g)
-                        part = s[:, columns]
-                        least = np.partition(part, -k, axis=1)[:, -k, None] if len(columns) > k else -np.inf
-                        q, c = np.nonzero((part >= least) & (part > -np.inf))
-                        found.append((q, columns[c]))
-                    q, j = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-                    new = rows.iloc[j].assign(q=q, score=s[q, j])
-                    kept = new if kept is None else pd.concat([kept, new])
-                    pair = pd.factorize(kept["profession"].astype(str) + "|" + kept["gender"].astype(str))[0] if per_pair else np.zeros(len(kept), int)
-                    kept = kept.iloc[_best(kept["q"].to_numpy(), kept["score"].to_numpy(), kept["text_length"].to_numpy(), kept["train_order"].to_numpy(), pair, k)]
-            if kept is not None and len(kept):
-                table = pa.Table.from_pandas(kept[["id", "profession", "gender", "train_order", "text_length", "score"]], preserve_index=False)
-                table = table.add_column(0, "query_id", names.take(pa.array(kept["q"].to_numpy())))
-                yield from table.cast(pa.schema([("query_id", pa.string()), ("id", pa.string()), ("profession", pa.string()), ("gender", pa.string()), ("train_order", pa.int32()), ("text_length", pa.int64()), ("score", pa.float64())])).to_batches()
-
-        out = out.unionByName(pool.select("id", "profession", "gender", F.coalesce("train_order", F.lit(2147483647)).alias("train_order"), "text_length", "vector").mapInArrow(score, FOUND))
-    return out
+    id.  Both sides are cut by hash into blocks of about query_rows and pool_rows vectors; each block of one side meets each of the
+    other in an executor, and only their best go on.  A row of one side is sent as often as the other side has blocks."""
+    cores = pool.sparkSession.sparkContext.defaultParallelism
+    n = pool.count()
+    parts = max(1, -(-n // pool_rows), min(cores, -(-n // 1024)))  # small pools are spread over the cores
+    blocks = max(1, -(-queries.count() // query_rows))
+    each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    p = pool.select("id", "profession", "gender", F.coalesce("train_order", F.lit(2147483647)).alias("train_order"), "text_length", "vector", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("_p"), each(blocks).alias("_q"))
+    q = queries.select(F.col("query_id").alias("query_id"), F.col("vector").alias("vector"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("_q"), each(parts).alias("_p"))
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return pa.table({"query_id": pa.array([], pa.string()), "id": pa.array([], pa.string()), "profession": pa.array([], pa.string()), "gender": pa.array([], pa.string()), "train_order": pa.array([], pa.int32()), "text_length": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        return _score(a, b, k, per_pair)
+
+    return p.groupBy("_p", "_q").cogroup(q.groupBy("_p", "_q")).applyInArrow(meet, FOUND)
 
 
 def _nearest(*keys: str):
@@ -139,12 +136,14 @@ def greedy_balanced(profession: list, gender: list, k: int, pairs: list[tuple])
     return picked
 
 
-def balanced_topk(pool: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def balanced_topk(pool: DataFrame, queries: DataFrame, k: int, pairs: list[tuple] | None = None) -> DataFrame:
     """Like semantic_topk, but professions, genders and their pairs are kept in balance.
 
+    pairs: the configured professions and genders, without which those of the pool count; a pair that has no row keeps the balance from being met.
+
     Of each pair at most its k nearest rows can be picked, so the rest of the pool is dropped without loss.  Fails
     where no row keeps the balance."""
-    pairs = [tuple(r) for r in pool.select("profession", "gender").distinct().orderBy("profession", "gender").collect()]  # as many as there are labels
+    pairs = pairs or [tuple(r) for r in pool.select("profession", "gender").distinct().orderBy("profession", "gender").collect()]  # as many as there are labels
     near = candidates(pool, queries, k, per_pair=True).withColumn("n", F.row_number().over(_nearest("query_id", "profession", "gender"))).where(F.col("n") <= k)
 
     def pick(group: pd.DataFrame) -> pd.DataFrame:
@@ -155,6 +154,21 @@ def balanced_topk(pool: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return near.groupBy("query_id").applyInPandas(pick, "query_id string, pos int, id string, profession string, gender string, score double")
 
 
+def require_usable(vectors: DataFrame, rows: DataFrame, dim: int) -> None:
+    """Fails unless the vectors are those of the training rows: one each, usable, with the rows' labels."""
+    found = vector_problems(vectors, rows, dim).first().asDict()
+    if bad := {name: n for name, n in found.items() if n and name != "vector_rows"}:
+        raise ValueError("the vectors don't fit the training rows: " + ", ".join(f"{name} {n}" for name, n in bad.items()))
+
+
+def require_pool(pool: DataFrame, k: int) -> None:
+    """Fails if k is no count or a query could not get k rows of the pool."""
+    if isinstance(k, bool) or not isinstance(k, int) or k < 1:
+        raise ValueError(f"the number of examples must be a whole number above 0, not {k!r}")
+    if (n := pool.limit(k).count()) < k:
+        raise ValueError(f"{k} examples are asked for; the pool has {n} rows")
+
+
 def permutation(seed: int, k: int) -> list[int]:
     places = list(range(k))
     random.Random(seed).shuffle(places)
@@ -173,7 +187,8 @@ def order_examples(examples: Column, order: str, seed: int = 0, k: int = 0) -> C
 
 def hydrate(selections: DataFrame, rows: DataFrame) -> DataFrame:
     """Selections with the texts of their rows, joined only after the selection."""
-    return selections.join(rows.select("id", "hard_text"), "id")
+    wanted = rows.select("id", "hard_text").join(selections.select("id").distinct(), "id", "left_semi")  # texts that nobody picked stay where they are
+    return selections.join(wanted, "id")
 
 
 def require_hydrated(selections: DataFrame, rows: DataFrame) -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ..config import task_settings, validate
 from ..functions.values import canonical_json
 from ..operators import composition, contrasts, metrics, prompts, ranking, reports, retrieval, sampling
+from ..schema import GENDERS
 from ..sources import tables as io
 
 Make = Callable[[], object]
@@ -61,16 +63,26 @@ def retrievals(config: dict, rows: DataFrame, folder: str, make: Callable[[dict]
         return None
     train, sample, _ = select_run_data(config, rows)
     all_train = _split_rows(config, rows).where("split = 'train'")
+    pairs = [(p, g) for p in task_settings(config).professions for g in GENDERS]
     out = None
     for m in config["retrieval"]["embedding_models"]:
+        _warn_cut(all_train, m)
         v = io.open_vectors(all_train, _vector_path(folder, m), m)
+        retrieval.require_usable(v, all_train, m["dimension"])
         pool = v.join(train.select("id", F.length("hard_text").cast("long").alias("text_length")), "id")
+        retrieval.require_pool(pool, k)
         queries = io.query_vectors(sample, f"{folder}/queries", m, make(m))
         for method in config["retrieval"]["methods"]:
-            find = retrieval.semantic_topk if method == "semantic" else retrieval.balanced_topk
-            found = find(pool, queries, k).select(F.lit(method).alias("retrieval_method"), F.lit(m["id"]).alias("embedding_model"), "query_id", "pos", "id", "profession", "gender", F.col("score").alias("retrieval_score"))
+            found = retrieval.semantic_topk(pool, queries, k) if method == "semantic" else retrieval.balanced_topk(pool, queries, k, pairs)
+            found = found.select(F.lit(method).alias("retrieval_method"), F.lit(m["id"]).alias("embedding_model"), "query_id", "pos", "id", "profession", "gender", F.col("score").alias("retrieval_score"))
             out = found if out is None else out.unionByName(found)
-    return retrieval.hydrate(out, train)
+    return retrieval.hydrate(out, train)  # the pool was joined to the same rows, so that each has its text
+
+
+def _warn_cut(rows: DataFrame, model: dict) -> None:
+    if most := model.get("max_sequence_length"):
+        if n := prompts.too_long(rows, most).count():
+            warnings.warn(f"{model['id']} takes {most} tokens; {n} training texts are longer by white space alone and will be cut", stacklevel=3)
 
 
 def predictions(config: dict, rows: DataFrame, folder: str, encoder: Callable[[dict], Make], predictor: Callable[[str], Make]) -> DataFrame:

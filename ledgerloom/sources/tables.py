@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.values import canonical_json, fingerprint, row_digest
+from ..functions.values import canonical_json, fingerprint, is_usable_vector, row_digest
 from ..operators.prompts import Encoder, encode
 from ..schema import GENDERS, PROFESSIONS, REPORT_NAMES, SOURCE_ROW, VECTOR_ROW
 
@@ -29,16 +29,17 @@ def _fs(spark: SparkSession, path: str):
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Writes a small document whole or not at all: beside its place first, then renamed."""
+    """Writes a small document whole or not at all: beside its place first, then renamed over it in one step."""
     jvm = spark.sparkContext._jvm
     fs, target = _fs(spark, path)
     draft = jvm.org.apache.hadoop.fs.Path(path + f".{os.getpid()}.tmp")
     out = fs.create(draft, True)
     out.write(bytearray(text.encode()))
     out.close()
-    fs.delete(target, False)
-    if not fs.rename(draft, target):
-        raise OSError(f"{path} can't be written")
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    over = spark.sparkContext._gateway.new_array(rename, 1)
+    over[0] = rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(target).toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(fs.makeQualified(draft), fs.makeQualified(target), over)
 
 
 def read_text(spark: SparkSession, path: str) -> str | None:
@@ -147,13 +148,17 @@ def open_vectors(rows: DataFrame, path: str, settings: dict) -> DataFrame:
 
 
 def query_vectors(queries: DataFrame, folder: str, settings: dict, make: Callable[[], Encoder], text_col: str = "hard_text") -> DataFrame:
-    """Vectors of queries, kept under a fingerprint of settings and texts; whatever can't be read is made anew."""
+    """Vectors of queries, kept under a fingerprint of settings and texts; what is missing, not whole or unusable is made anew."""
     spark = queries.sparkSession
     prompted = queries.select("id", F.concat(F.lit(settings.get("query_prompt", "")), F.col(text_col)).alias("text"))
     digest = prompted.agg(F.count("*"), F.sum(F.xxhash64("id", "text").cast("decimal(38,0)"))).first()
     path = f"{folder}/{fingerprint([settings, digest[0], str(digest[1])])}"
     if exists(spark, f"{path}/_SUCCESS"):
-        return spark.read.parquet(path)
+        kept = spark.read.parquet(path)
+        if dict(kept.dtypes) == {"query_id": "string", "vector": "array<float>"}:
+            met = kept.where(is_usable_vector(F.col("vector"), settings["dimension"])).groupBy("query_id").count().join(queries.select(F.col("id").alias("query_id")), "query_id")
+            if (kept.count(), met.where("count = 1").count()) == (digest[0], digest[0]):
+                return kept
     encode(prompted, make, settings["dimension"], "text").select(F.col("id").alias("query_id"), "vector").write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 

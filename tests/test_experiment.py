@@ -38,7 +38,7 @@ def test_experiment(spark, tmp_path):
     found = io.completed_runs(str(tmp_path / "out"))
     assert found == [path.removeprefix("file://")]
     again = experiment.recalculate(CONFIG, path, spark)["results"].select("condition", "accuracy", "quality_rank").collect()
-    assert {tuple(r) for r in again} == {tuple(r) for r in out["results"].select("condition", "accuracy", "quality_rank").collect()} or len(again) == n
+    assert {tuple(r) for r in again} == {tuple(r) for r in out["results"].select("condition", "accuracy", "quality_rank").collect()} and len(again) == n
     loaded = experiment.load_run(spark, path)
     assert set(loaded) == set(out) and "accuracy / micro_precision / micro_recall / micro_f1 / weighted_recall" in loaded["results"].columns
     reports.require_consistent(out["results"])
@@ -51,6 +51,41 @@ def test_experiment(spark, tmp_path):
     assert not io.discard_incomplete(spark, folder, CONFIG)
 
 
+def test_faulty_vectors_fail_the_run(spark, tmp_path):
+    from ledgerloom.operators import retrieval
+
+    rows = spark.createDataFrame([(f"train:1:{i}", "train", "nurse", "male", i) for i in range(3)], "id string, split string, profession string, gender string, train_order int")
+    good = rows.drop("split").withColumn("vector", F.array(F.lit(1.0).cast("float"), F.lit(2.0).cast("float")))
+    retrieval.require_usable(good, rows, 2)
+    for bad in (good.limit(2), good.unionByName(good.limit(1)), good.withColumn("gender", F.lit("female")), good.withColumn("vector", F.expr("array(float(0), float(0))")), good.withColumn("vector", F.expr("array(float('nan'), float(0))"))):
+        with pytest.raises(ValueError, match="don't fit"):
+            retrieval.require_usable(bad, rows, 2)
+    for k in (0, 4, True):
+        with pytest.raises(ValueError):
+            retrieval.require_pool(good, k)
+
+
+def test_values_with_placeholders_stay(spark):
+    df = spark.createDataFrame([("{target} of {labels}",)], "t string")
+    assert df.select(prompts.fill(F.col("t"), "{labels}", "g", ["a{target}", "b"])).first()[0] == "{labels} of a{target}, b"
+
+
+def test_text_is_replaced_in_one_step(spark, tmp_path):
+    for text in ("one", "two"):
+        io.write_text(spark, f"file://{tmp_path}/x.json", text)
+        assert io.read_text(spark, f"file://{tmp_path}/x.json") == text
+    assert not [f for f in tmp_path.iterdir() if "tmp" in f.name and not f.name.startswith(".")]
+
+
+def test_broken_query_cache_is_made_anew(spark, tmp_path):
+    rows, settings = spark.createDataFrame([("a", "x y"), ("b", "z")], "id string, hard_text string"), {"dimension": 4}
+    make = lambda: prompts.StubEncoder(4)
+    first = sorted(map(tuple, io.query_vectors(rows, f"file://{tmp_path}/q", settings, make).collect()))
+    path = next(p for p in (tmp_path / "q").iterdir())
+    spark.createDataFrame([("a", [0.0, 0.0, 0.0, 0.0])], "query_id string, vector array<float>").write.mode("overwrite").parquet(f"file://{path}")
+    assert sorted(map(tuple, io.query_vectors(rows, f"file://{tmp_path}/q", settings, make).collect())) == first
+
+
 def test_strict_outputs(spark):
     grid = spark.createDataFrame([([("user", "x")],)], "prompt array<struct<role:string,content:string>>")
 
