@@ -63,8 +63,10 @@ def train_cap(spark, d):
 
 def condition_grid(spark, d):
     c = table(spark, d, "conditions")
-    levels = {k: sorted(r[0] for r in c.select(k).distinct().collect() if r[0] not in (NOT_APPLICABLE,)) for k in ("language_model", "retrieval_method", "embedding_model", "example_count", "example_order")}  # a fixed table of conditions
-    templates = {r[0]: r[1] for r in c.select("prompt_name", "master_prompt").distinct().orderBy("prompt_name").collect()}
+    names = ("language_model", "retrieval_method", "embedding_model", "example_count", "example_order")
+    rows = c.select(*names, "prompt_name", "master_prompt").distinct().collect()  # a fixed table of conditions
+    levels = {k: sorted({r[k] for r in rows} - {NOT_APPLICABLE}) for k in names}
+    templates = dict(sorted({(r["prompt_name"], r["master_prompt"]) for r in rows}))
     return prompts.condition_grid(spark, levels["language_model"], levels["retrieval_method"], levels["embedding_model"], levels["example_count"], levels["example_order"], templates)
 
 
@@ -114,8 +116,9 @@ def winner_predictions(spark, d):
 
 def _config(spark, d) -> dict[str, list]:
     """Configured levels, from the fixed table of conditions."""
-    c = table(spark, d, "conditions")
-    return {k: sorted(r[0] for r in c.select(k).distinct().collect() if r[0] not in (NOT_APPLICABLE, 0)) for k in ("language_model", "prompt_name", "retrieval_method", "embedding_model", "example_count", "example_order")}
+    names = ("language_model", "prompt_name", "retrieval_method", "embedding_model", "example_count", "example_order")
+    rows = table(spark, d, "conditions").select(*names).distinct().collect()
+    return {k: sorted({r[k] for r in rows} - {NOT_APPLICABLE, 0}) for k in names}
 
 
 def _details(spark, d):
