@@ -226,7 +226,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
 
 
-def grow(total: Callable[[Tree, np.ndarray], np.ndarray], width: int, leaves: float, least: float, rounds: int = 3, together: int = 1 << 30) -> tuple[Tree, np.ndarray, np.ndarray]:
+def grow(total: Callable[[Tree, np.ndarray], np.ndarray], width: int, leaves: float, least: float, rounds: int = 2, together: int = 1 << 30) -> tuple[Tree, np.ndarray, np.ndarray]:
     """(tree, its leaves, their centres), by splitting the leaves with the most spread in two until there are enough.
 
     total: Tree.sums over all rows.  Leaves of a quarter of the largest spread or more are split together, without a bound on their number all
@@ -271,7 +271,7 @@ def grow(total: Callable[[Tree, np.ndarray], np.ndarray], width: int, leaves: fl
     return tree, found, _unit(centres).astype(np.float32)
 
 
-def bisecting_kmeans(x: np.ndarray, leaves: float, least: float, rounds: int = 3) -> np.ndarray:
+def bisecting_kmeans(x: np.ndarray, leaves: float, least: float, rounds: int = 2) -> np.ndarray:
     """Centres of unit length of the rows of x, unit vectors (rows of zeros take no part)."""
     d, t = np.nonzero(x)
     return grow(lambda tree, nodes: tree.sums(d, t, x[d, t], np.ones(len(x)), nodes), x.shape[1], leaves, least, rounds)[2]
