@@ -2,6 +2,16 @@
 
 from __future__ import annotations
 
+# Usable vectors, one an id; equal similarities go to the smaller id, compared by bytes.
+P1_EXACT = """
+WITH good AS (SELECT id, min(vector) AS v FROM train_vectors
+    WHERE id IS NOT NULL AND len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0
+    GROUP BY id),
+pairs AS (SELECT a.id, b.id AS other, list_cosine_similarity(a.v::DOUBLE[], b.v::DOUBLE[]) AS s FROM good a JOIN good b ON a.id <> b.id)
+SELECT id, other FROM pairs WHERE s >= 0.85
+QUALIFY row_number() OVER (PARTITION BY id ORDER BY s DESC, other) <= 10
+"""
+
 # A profession in one spelling; records are one row an id, the one loaded last.
 _P = "replace(replace(lower(trim(profession)), ' ', '_'), '-', '_')"
 _RECORDS = f"""(SELECT id, batch_id, profession, gender FROM (
@@ -33,4 +43,4 @@ FROM documents d JOIN context_windows w ON octet_length(encode(d.text)) > w.max_
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": P4_FOUND, "p4_needs": P4_NEEDS, "p6_found": P6_FOUND}
+    return {"p1_exact": P1_EXACT, "p4_found": P4_FOUND, "p4_needs": P4_NEEDS, "p6_found": P6_FOUND}

@@ -23,6 +23,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vptree.similar_pairs(p1_neighbours(spark, sf_dir))
 
 
+def p1_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same lists without any loss: factor 1 rules out only what cannot hold a neighbour."""
+    return vptree.nearest(_reader(spark, sf_dir)("train_vectors"), least=0.85, factor=1.0).select("id", "other")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = _reader(spark, sf_dir)
     return simhash.cross_split_overlaps(read("source_rows"), words=3, threshold=0.75).select("eval_id", "train_id")
