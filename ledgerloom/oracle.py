@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .functions.text import LIGATURES, NARROW, QUOTES, REMOVED, WIDE
+from .operators.reports import PLOTTED
 from .operators.retrieval import permutation
 from .schema import FAIRNESS, GENDERS, PROFESSIONS
 
@@ -139,6 +140,21 @@ res AS (SELECT * FROM q JOIN g USING (condition, evaluation_split) JOIN sp USING
 
 
 RESULTS = f"WITH {_CELLS}, {_FAIR}, {_results(False)} SELECT * FROM res"
+_PANELS = ", ".join(PLOTTED["quality"])
+METRIC_PANELS = f"""WITH {_CELLS}, {_FAIR}, {_results(False)},
+wide AS (SELECT concat_ws(' | ', language_model, prompt_name, retrieval_method, example_count::VARCHAR, example_order) AS label, {", ".join(f"{c}::DOUBLE AS {c}" for c in PLOTTED["quality"])} FROM res)
+SELECT label, metric, value, value IS NULL AS undefined FROM wide UNPIVOT INCLUDE NULLS (value FOR metric IN ({_PANELS}))"""
+AXIS_LIMITS = f"""WITH {_CELLS}, {_FAIR}, {_results(True)},
+ends AS (SELECT 'accuracy' AS panel, least(0, min(accuracy)) AS a, greatest(0, max(accuracy)) AS b FROM res
+  UNION ALL SELECT 'agreement', least(0, min(macro_f1), min(cohen_kappa), min(matthews_correlation_coefficient)), greatest(0, max(macro_f1), max(cohen_kappa), max(matthews_correlation_coefficient)) FROM res),
+m AS (SELECT *, CASE WHEN b > a THEN (b - a) * 0.05 ELSE 0.05 END AS m FROM ends)
+SELECT panel, round(CASE WHEN a < 0 THEN a - m ELSE 0 END, 10) AS low, round(CASE WHEN b > 0 THEN b + m ELSE m END, 10) AS high FROM m"""
+BEST_LABELS = f"""WITH {_CELLS}, l AS (SELECT * FROM (VALUES {_P}) p(predicted_label, i)),
+n AS (SELECT condition, evaluation_split, true_label, predicted_label, sum(n) AS n FROM c GROUP BY ALL)
+SELECT condition, evaluation_split, true_label, predicted_label AS best_label FROM n JOIN l USING (predicted_label)
+QUALIFY row_number() OVER (PARTITION BY condition, evaluation_split, true_label ORDER BY n DESC, i) = 1"""
+LENGTH_ORDER = f"""WITH {_ROWS} SELECT id, length(hard_text)::INT AS length, row_number() OVER (PARTITION BY profession ORDER BY length(hard_text) DESC, ordinal, id) AS place
+FROM good WHERE split = 'train' AND hard_text IS NOT NULL"""
 _RANKED = f"""WITH {_CELLS}, {_FAIR}, {_results(False)}, ranked AS (SELECT condition, evaluation_split, language_model, macro_f1, mean_equalized_odds_difference,
     CASE WHEN macro_f1 IS NOT NULL THEN dense_rank() OVER (PARTITION BY language_model ORDER BY macro_f1 DESC NULLS LAST) END::INT AS quality_rank,
     CASE WHEN mean_equalized_odds_difference IS NOT NULL THEN dense_rank() OVER (PARTITION BY language_model ORDER BY mean_equalized_odds_difference NULLS LAST) END::INT AS fairness_rank
@@ -282,7 +298,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "composition_counts": COMPOSITION, "max_balanced": MAX_BALANCED, "balanced_sample": BALANCED_SAMPLE, "train_order": TRAIN_ORDER, "train_cap": TRAIN_CAP, "condition_grid": CONDITION_GRID,
         "confusion_matrix": CONFUSION, "confusion_pivot": CONFUSION_PIVOT, "target_label_metrics": LABEL_METRICS, "audit_group_metrics": GROUP_METRICS, "fairness_metrics": FAIRNESS_SQL,
-        "condition_results": RESULTS, "ranked_results": RANKED, "winners": WINNERS, "winner_predictions": WINNER_PREDICTIONS, "contrast_details": DETAILS, "zero_shot_contrasts": ZERO, "contrast_summary": SUMMARY,
+        "condition_results": RESULTS, "metric_panels": METRIC_PANELS, "axis_limits": AXIS_LIMITS, "best_labels": BEST_LABELS, "length_order": LENGTH_ORDER, "ranked_results": RANKED, "winners": WINNERS, "winner_predictions": WINNER_PREDICTIONS, "contrast_details": DETAILS, "zero_shot_contrasts": ZERO, "contrast_summary": SUMMARY,
         "semantic_topk": SEMANTIC, "balanced_topk": BALANCED, "vector_problems": VECTOR_PROBLEMS, "ordered_examples": ORDERED, "hydrated_examples": HYDRATED, "build_prompt": PROMPT, "label_normalise": LABEL_NORMALISE,
         "clean_text": CLEAN, "fingerprints": FINGERPRINTS, "benchmark_aggregate": BENCHMARK, "group_quality_extra_volume": EXTRA_VOLUME,
     }

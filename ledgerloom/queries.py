@@ -6,11 +6,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text, values
-from .operators import composition, contrasts, metrics, prompts, ranking, retrieval, sampling
+from .operators import composition, contrasts, metrics, prompts, ranking, reports, retrieval, sampling
 from .oracle import oracle_sql  # noqa: F401
 from .schema import CONDITION, NOT_APPLICABLE, PROFESSIONS
 from .session import table
@@ -98,6 +98,32 @@ def condition_results(spark, d):
     return _rounded(_results(spark, d))
 
 
+def metric_panels(spark, d):
+    return reports.metric_panels(_rounded(_results(spark, d)))
+
+
+def axis_limits(spark, d):
+    found = _results(spark, d)
+    wide = ["macro_f1", "cohen_kappa", "matthews_correlation_coefficient"]
+    rows = [(c, *map(float, reports.axis_limits(found, columns))) for c, columns in (("accuracy", ["accuracy"]), ("agreement", wide))]
+    return _rounded(spark.createDataFrame(rows, "panel string, low double, high double"))  # a row a panel
+
+
+def best_labels(spark, d):
+    """The label that each true label is taken for most often, by the scoring rule: of equal scores the first configured."""
+    n = _cells(spark, d).groupBy("condition", "evaluation_split", "true_label", "predicted_label").agg(F.sum("n").cast("double").alias("n"))
+    scores = n.groupBy("condition", "evaluation_split", "true_label").agg(F.map_from_entries(F.collect_list(F.struct("predicted_label", "n"))).alias("scores"))  # an entry a label
+    return scores.select("condition", "evaluation_split", "true_label", prompts.best_label(F.col("scores"), LABELS).alias("best_label"))
+
+
+def length_order(spark, d):
+    """Places of the training rows in the order in which vectors are made, counted within a profession."""
+    measured = table(spark, d, "source_rows").withColumn("length", F.length("hard_text"))
+    rows = sampling.of_professions(sampling.source_rows(measured, columns=("split", "profession", "gender", "length"))).where("split = 'train' and length is not null")
+    order = Window.partitionBy("profession").orderBy(F.desc("length"), "ordinal", "id")
+    return rows.select("id", "length", F.row_number().over(order).alias("place"))
+
+
 def _ranked(spark, d):
     return ranking.rank_results(_rounded(_results(spark, d)).where("evaluation_split = 'validation'"), check=False)
 
@@ -228,7 +254,7 @@ def group_quality_extra_volume(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (composition_counts, max_balanced, balanced_sample, train_order, train_cap, condition_grid, confusion_matrix, confusion_pivot, target_label_metrics, audit_group_metrics, fairness_metrics, condition_results, ranked_results, winners, winner_predictions, contrast_details, zero_shot_contrasts, contrast_summary, semantic_topk, balanced_topk, vector_problems, ordered_examples, hydrated_examples, build_prompt, label_normalise, clean_text, fingerprints, benchmark_aggregate, group_quality_extra_volume)
+    named = (composition_counts, max_balanced, balanced_sample, train_order, train_cap, condition_grid, confusion_matrix, confusion_pivot, target_label_metrics, audit_group_metrics, fairness_metrics, condition_results, metric_panels, axis_limits, best_labels, length_order, ranked_results, winners, winner_predictions, contrast_details, zero_shot_contrasts, contrast_summary, semantic_topk, balanced_topk, vector_problems, ordered_examples, hydrated_examples, build_prompt, label_normalise, clean_text, fingerprints, benchmark_aggregate, group_quality_extra_volume)
     return {f.__name__: f for f in named}
 
 
