@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from ..schema import metric_name
 
 
-def _rank(metric: str, direction: str):
+def _rank(metric: str, direction: str, within: list[str]):
     order = F.col(metric).asc_nulls_last() if direction == "minimize" else F.col(metric).desc_nulls_last()
-    return F.when(F.col(metric).isNotNull(), F.dense_rank().over(Window.partitionBy("language_model").orderBy(order)))
+    return F.when(F.col(metric).isNotNull(), F.dense_rank().over(Window.partitionBy(*within).orderBy(order)))
 
 
 def rank_results(results: DataFrame, quality: str = "macro_f1", quality_direction: str = "maximize", fairness: str = "mean_equalized_odds_difference", fairness_direction: str = "minimize", *, check: bool = True) -> DataFrame:
-    """results with ranks by quality and by fairness, each among the conditions of one language model.
+    """results with ranks by quality and by fairness, each among the conditions of one language model and evaluation split.
 
     Equal values share a rank, undefined values have none, and every condition of rank 1 is a winner.  With check, a
     language model without any defined quality is an error; one without fairness has no winner."""
@@ -23,13 +23,14 @@ def rank_results(results: DataFrame, quality: str = "macro_f1", quality_directio
         if d not in ("maximize", "minimize"):
             raise ValueError(f"unknown direction: {d}")
     kinds = dict(results.dtypes)
+    within = [c for c in ("language_model", "evaluation_split") if c in results.columns]
     for m in (quality, fairness):
         if kinds.get(m) not in ("double", "float", "int", "bigint"):
             raise ValueError(f"no numeric column: {m}")
     if check:
-        for r in results.groupBy("language_model").agg(F.count(quality).alias("n")).where("n = 0").limit(1).collect():
+        for r in results.groupBy(*within).agg(F.count(quality).alias("n")).where("n = 0").limit(1).collect():
             raise ValueError(f"{quality} is undefined for every condition of {r[0]}")
-    ranked = results.withColumn("quality_rank", _rank(quality, quality_direction)).withColumn("fairness_rank", _rank(fairness, fairness_direction))
+    ranked = results.withColumn("quality_rank", _rank(quality, quality_direction, within)).withColumn("fairness_rank", _rank(fairness, fairness_direction, within))
     return ranked.withColumns({f"is_{k}_best": F.coalesce(F.col(f"{k}_rank") == 1, F.lit(False)) for k in ("quality", "fairness")})
 
 

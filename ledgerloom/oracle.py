@@ -156,11 +156,11 @@ QUALIFY row_number() OVER (PARTITION BY condition, evaluation_split, true_label
 LENGTH_ORDER = f"""WITH {_ROWS} SELECT id, length(hard_text)::INT AS length, row_number() OVER (PARTITION BY profession ORDER BY length(hard_text) DESC, ordinal, id) AS place
 FROM good WHERE split = 'train' AND hard_text IS NOT NULL"""
 _RANKED = f"""WITH {_CELLS}, {_FAIR}, {_results(False)}, ranked AS (SELECT condition, evaluation_split, language_model, macro_f1, mean_equalized_odds_difference,
-    CASE WHEN macro_f1 IS NOT NULL THEN dense_rank() OVER (PARTITION BY language_model ORDER BY macro_f1 DESC NULLS LAST) END::INT AS quality_rank,
-    CASE WHEN mean_equalized_odds_difference IS NOT NULL THEN dense_rank() OVER (PARTITION BY language_model ORDER BY mean_equalized_odds_difference NULLS LAST) END::INT AS fairness_rank
-  FROM res WHERE evaluation_split = 'validation')"""
-RANKED = f"{_RANKED} SELECT condition, language_model, macro_f1, mean_equalized_odds_difference, quality_rank, coalesce(quality_rank = 1, false) AS is_quality_best, fairness_rank, coalesce(fairness_rank = 1, false) AS is_fairness_best FROM ranked"
-WINNERS = f"{_RANKED} SELECT language_model, condition, macro_f1 FROM ranked WHERE quality_rank = 1"
+    CASE WHEN macro_f1 IS NOT NULL THEN dense_rank() OVER (PARTITION BY language_model, evaluation_split ORDER BY macro_f1 DESC NULLS LAST) END::INT AS quality_rank,
+    CASE WHEN mean_equalized_odds_difference IS NOT NULL THEN dense_rank() OVER (PARTITION BY language_model, evaluation_split ORDER BY mean_equalized_odds_difference NULLS LAST) END::INT AS fairness_rank
+  FROM res)"""
+RANKED = f"{_RANKED} SELECT condition, language_model, evaluation_split, macro_f1, mean_equalized_odds_difference, quality_rank, coalesce(quality_rank = 1, false) AS is_quality_best, fairness_rank, coalesce(fairness_rank = 1, false) AS is_fairness_best FROM ranked"
+WINNERS = f"{_RANKED} SELECT language_model, evaluation_split, condition, macro_f1 FROM ranked WHERE quality_rank = 1"
 WINNER_PREDICTIONS = f"""{_RANKED} SELECT condition, evaluation_split, query_id, true_label, predicted_label FROM pred
 WHERE (condition, evaluation_split) IN (SELECT (condition, evaluation_split) FROM ranked WHERE quality_rank = 1)"""
 

@@ -125,15 +125,15 @@ def length_order(spark, d):
 
 
 def _ranked(spark, d):
-    return ranking.rank_results(_rounded(_results(spark, d)).where("evaluation_split = 'validation'"), check=False)
+    return ranking.rank_results(_rounded(_results(spark, d)), check=False)
 
 
 def ranked_results(spark, d):
-    return _ranked(spark, d).select("condition", "language_model", "macro_f1", "mean_equalized_odds_difference", "quality_rank", "is_quality_best", "fairness_rank", "is_fairness_best")
+    return _ranked(spark, d).select("condition", "language_model", "evaluation_split", "macro_f1", "mean_equalized_odds_difference", "quality_rank", "is_quality_best", "fairness_rank", "is_fairness_best")
 
 
 def winners(spark, d):
-    return ranking.winners(_ranked(spark, d)).select("language_model", "condition", "macro_f1")
+    return ranking.winners(_ranked(spark, d)).select("language_model", "evaluation_split", "condition", "macro_f1")
 
 
 def winner_predictions(spark, d):
