@@ -12,10 +12,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-_MARKUP = re.compile(r"<!--.*?-->|<!doctype\s+[^>]*>|</?[A-Za-z][A-Za-z0-9:-]*(?:\s[^<>]*?)?/?>", re.I | re.S)
-_ESCAPES = re.compile("\x1b\\[((?:\\d|;)*)([a-zA-Z])")
-# Characters that repair removes, and those it writes plainly: wide forms, ligatures and curled quotes.
+# Fixed values, as cleaned texts must come out the same: what counts as markup (without regard to case, over lines), which
+# characters are invisible, which are control characters, and what repair removes: terminal escapes, control characters but tab, line feed,
+# form feed and carriage return, and Unicode's deprecated format, interlinear and byte-order marks.
+MARKUP = r"<!--.*?-->|<!doctype\s+[^>]*>|</?[A-Za-z][A-Za-z0-9:-]*(?:\s[^<>]*?)?/?>"
+INVISIBLE = "[\\u00ad\\u200b-\\u200f\\u2060\\ufeff]"
+CONTROL = "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x9f]"
+ESCAPE = r"\x1b\[[\d;]*[A-Za-z]"
 REMOVED = "".join(map(chr, (*range(0, 9), 0x0B, *range(0x0E, 0x20), 0x7F, *range(0x206A, 0x2070), 0xFEFF, *range(0xFFF9, 0xFFFD))))
+
+_MARKUP, _ESCAPE = re.compile(MARKUP, re.I | re.S), re.compile(ESCAPE)
+# What repair writes plainly: wide forms, ligatures and curled quotes.
 WIDE = "".join(map(chr, range(0xFF01, 0xFF5F))) + "　"
 NARROW = "".join(map(chr, range(0x21, 0x7F))) + " "
 LIGATURES = {c: unicodedata.normalize("NFKC", c) for c in map(chr, (0x132, 0x133, 0x149, *range(0x1C4, 0x1CD), *range(0x1F1, 0x1F4), *range(0xFB00, 0xFB07)))}
@@ -60,7 +67,7 @@ def strip_and_repair(text: str | None) -> str | None:
         text = html.unescape(text)
     if text.isascii() and text.isprintable():
         return text
-    text = _ESCAPES.sub("", text).translate(_REPAIR)
+    text = _ESCAPE.sub("", text).translate(_REPAIR)
     return unicodedata.normalize("NFC", text.replace("\r\n", "\n").replace("\r", "\n").replace(" ", "\n").replace(" ", "\n"))
 
 
@@ -71,8 +78,8 @@ def strip_markup(text: pd.Series) -> pd.Series:
 
 def tidy(c: Column) -> Column:
     """Invisible characters go, control characters become blanks, white space collapses and leaves punctuation."""
-    c = F.regexp_replace(c, "[\\u00ad\\u200b-\\u200f\\u2060\\ufeff]", "")
-    c = F.regexp_replace(c, "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x9f]", " ")
+    c = F.regexp_replace(c, INVISIBLE, "")
+    c = F.regexp_replace(c, CONTROL, " ")
     c = F.regexp_replace(c, "(?U)\\s+", " ")
     return F.regexp_replace(F.trim(c), " ([,.;:!?])", "$1")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .functions.text import LIGATURES, NARROW, QUOTES, REMOVED, WIDE
+from .functions.text import LIGATURES, MARKUP, NARROW, QUOTES, REMOVED, WIDE
 from .operators.reports import PLOTTED
 from .operators.retrieval import permutation
 from .schema import FAIRNESS, GENDERS, PROFESSIONS
@@ -265,7 +265,7 @@ def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-_TEXT = r"regexp_replace(hard_text, '<!--.*?-->|</?[A-Za-z][A-Za-z0-9:-]*(?:\s[^<>]*?)?/?>', ' ', 'gs')"
+_TEXT = f"regexp_replace(hard_text, '{MARKUP}', ' ', 'gis')"
 _TEXT = f"replace({_TEXT}, '&amp;', '&')"
 _TEXT = f"translate({_TEXT}, {_q(WIDE + ''.join(QUOTES))}, {_q(NARROW + ''.join(QUOTES.values()))})"
 for _c, _plain in LIGATURES.items():
