@@ -33,6 +33,12 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.cross_split_overlaps(read("source_rows"), words=3, threshold=0.75).select("eval_id", "train_id")
 
 
+def p2_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pairs without any loss: nothing may be missed, so all sets meet by their shingles."""
+    read = _reader(spark, sf_dir)
+    return simhash.cross_split_overlaps(read("source_rows"), words=3, threshold=0.75, miss=0).select("eval_id", "train_id")
+
+
 def p2_overlap_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.overlap_report(_reader(spark, sf_dir)("source_rows"), words=3, threshold=0.75)
 

@@ -12,8 +12,9 @@ probability `miss` with which a pair of just that likeness may be lost; likelier
 (In the classic code every shingle votes on every bit.  At a likeness of 0.75 such bits differ with probability 0.17,
 so a segment of 16 bits stays whole in 5 of 100 pairs and 184 tables would be needed to lose but one pair in 10,000.)
 
-A block that very many sets share, as of a template, is split: its sets join on the block and each of their other blocks instead, of which alike
-ones share at least one again.
+A block that very many sets share, as of a template, is not joined.  The sets that have one meet by their shingles instead, which loses none: ordered
+by how many of these sets hold them, rare ones first, two sets of likeness t or more share a shingle among the first n - ceil(t*n) + 1 of each.
+With `miss` = 0 all sets meet so, without blocks, codes or any loss.
 """
 
 from __future__ import annotations
@@ -23,20 +24,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .records import one_per_id, split_name
-from .scratch import stored
+from .records import likeness, one_per_id, split_name, with_shingles
+from .scratch import drop, stored
 from .textform import mix, shingle_batch
 
 CODE = 64
 SAMPLES = 2
-HOT = 20_000  # pairs of a block from which on it is split
+HOT = 20_000  # pairs of a block from which on its sets meet by their shingles
+PART = 2_000  # sets of a side that meet those of the other in one piece, where very many share a shingle
 
 
 def tables(threshold: float, miss: float) -> int:
-    """How many blocks lose a pair of likeness `threshold` with probability `miss` at most."""
+    """How many blocks lose a pair of likeness `threshold` with probability `miss` at most; 0 if none may be lost, as no number does for that."""
+    if miss <= 0:
+        return 0
     return max(1, math.ceil(math.log(miss) / math.log(1 - min(threshold, 1 - 1e-9) ** SAMPLES)))
 
 
@@ -58,7 +62,7 @@ def fingerprints(values: np.ndarray, sizes: np.ndarray, blocks: int) -> tuple[np
     codes = np.zeros(n, np.uint64)
     joint = np.zeros((n, blocks), np.uint64)
     if n:
-        for i in range(CODE + SAMPLES * blocks):
+        for i in range(CODE + SAMPLES * blocks if blocks else 0):
             # another order of the hashes for each i; the low bits of a product hang on few bits of the hash, so they are mixed in
             salt = mix(np.array([i + 1], np.uint64))[0]
             x = (v ^ salt) * (salt | np.uint64(1))
@@ -91,44 +95,42 @@ def _printed(rows: DataFrame, words: int, blocks: int) -> DataFrame:
     return rows.select("id", "side", "text").where("text is not null").mapInArrow(run, "id string, side boolean, text string, k1 long, k2 long, code long, blocks array<long>")
 
 
-def _verified(pairs: DataFrame, words: int, threshold: float) -> DataFrame:
-    """pairs (ta, tb, and other columns) with their likeness instead of the texts, if it is at least `threshold`."""
-    kept = [c for c in pairs.columns if c not in ("ta", "tb")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
-                n = batch.num_rows
-                sets = [shingle_batch(batch.column(c).to_pylist(), words) for c in ("ta", "tb")]
-                values, owner = np.concatenate([v for v, _ in sets]), np.concatenate([np.repeat(np.arange(n), s) for _, s in sets])
-                order = np.lexsort((values, owner))
-                same = (values[order][1:] == values[order][:-1]) & (owner[order][1:] == owner[order][:-1])
-                both = np.bincount(owner[order][1:][same], minlength=n)
-                alike = both / np.maximum(sets[0][1] + sets[1][1] - both, 1)
-                good = pa.array(alike >= threshold)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).filter(good) for c in kept), pa.array(alike).filter(good)], [*kept, "likeness"])
-
-    schema = ", ".join(f"{c} {kind}" for c, kind in pairs.dtypes if c in kept)
-    return pairs.select(*kept, "ta", "tb").mapInArrow(run, f"{schema}, likeness double")
-
-
-def _candidates(sets: DataFrame, near: int) -> DataFrame:
-    """(e, t): numbers of evaluation and training sets that share a block and whose codes differ in at most `near` bits."""
-    keyed = sets.select("side", "number", "code", F.posexplode("blocks").alias("i", "key"))
+def _candidates(sets: DataFrame, near: int) -> tuple[DataFrame, DataFrame]:
+    """(e, t): numbers of evaluation and training sets that share a block and whose codes differ in at most `near` bits, but for blocks of
+    more than HOT pairs; and the numbers of the sets that have such a block."""
+    keyed = sets.select("side", "number", "code", F.explode("blocks").alias("key"))
     count = keyed.groupBy("key").agg(F.sum(F.when(F.col("side"), 0).otherwise(1)).alias("ne"), F.sum(F.when(F.col("side"), 1).otherwise(0)).alias("nt"))
     hot = stored(count.where(F.col("ne") * F.col("nt") > HOT).select("key"), "hot")  # a block of so many pairs has sqrt(HOT) sets at least, so these are few
+    usual = keyed.join(hot, "key", "left_anti")
+    e = usual.where("not side").select("key", F.col("number").alias("e"), F.col("code").alias("ce"))
+    t = usual.where("side").select("key", F.col("number").alias("t"), F.col("code").alias("ct"))
+    met = e.join(t, "key").where(F.bit_count(F.col("ce").bitwiseXOR(F.col("ct"))) <= near).select("e", "t")
+    return met, keyed.join(hot, "key", "left_semi").select("number").distinct()
 
-    def met(rows: DataFrame) -> DataFrame:
-        e = rows.where("not side").select("key", F.col("number").alias("e"), F.col("code").alias("ce"))
-        t = rows.where("side").select("key", F.col("number").alias("t"), F.col("code").alias("ct"))
-        return e.join(t, "key").where(F.bit_count(F.col("ce").bitwiseXOR(F.col("ct"))) <= near).select("e", "t")
 
-    usual = keyed.join(hot, "key", "left_anti")
-    shared = keyed.join(hot, "key", "left_semi").select("side", "number", "code", "i", "key")
-    other = sets.select("number", F.posexplode("blocks").alias("j", "other"))
-    split = shared.join(other, "number").where("i <> j").select("side", "number", "code", F.xxhash64("key", "other").alias("key"))
-    return met(usual).unionByName(met(split)).distinct()
+def _sharing(sets: DataFrame, threshold: float) -> DataFrame:
+    """(e, t): of sets (side, number, shingles) all pairs that may be `threshold` alike by the shingles they share; see the module.
+
+    Shingles that no set of the other side holds come first of all, so that they are only counted."""
+    held = sets.select("side", "number", F.size("shingles").alias("n"), F.explode("shingles").alias("v"))
+    holders = held.groupBy("v").agg(F.count("*").alias("holders"), F.bool_or("side").alias("t"), F.bool_or(~F.col("side")).alias("e")).where("t and e").select("v", "holders")
+    # shared: how many shingles of the set others hold; i: which of these it is
+    each = Window.partitionBy("number")
+    ordered = held.join(holders, "v").withColumn("shared", F.count("*").over(each)).withColumn("i", F.row_number().over(each.orderBy("holders", "v")))
+    first = F.col("shared") - F.ceil(F.col("n") * threshold - 1e-9) + 1
+    posted = stored(ordered.where(F.col("i") <= first).select("side", "number", "n", (F.col("shared") - F.col("i") + 1).alias("rest"), "v"), "postings")
+    # every part of the one side meets every part of the other
+    parts = posted.groupBy("v").agg(*(F.ceil(F.count_if(F.col("side") == side) / PART).cast("int").alias(c) for c, side in (("pe", False), ("pt", True)))).where("pe > 0 and pt > 0")
+
+    def parted(of: bool, name: str, own: str, other: str) -> DataFrame:
+        rows = posted.where(F.col("side") == of).join(parts, "v")
+        part = F.pmod(F.xxhash64("number"), F.col(own)).cast("int").alias(own)
+        return rows.select("v", part, F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other), F.col("number").alias(name), F.col("n").alias(f"n{name}"), F.col("rest").alias(f"rest_{name}"))
+
+    # at the first shingle two sets share, no more than what follows it can be shared as well
+    enough = F.least("rest_e", "rest_t") * (1 + threshold) >= (F.col("ne") + F.col("nt")) * threshold - 1e-6
+    sizes = F.least("ne", "nt") >= threshold * F.greatest("ne", "nt") - 1e-6
+    return parted(False, "e", "pe", "pt").join(parted(True, "t", "pt", "pe"), ["v", "pe", "pt"]).where(enough & sizes).select("e", "t")
 
 
 def cross_split_overlaps(rows: DataFrame, id_col: str = "id", text_col: str = "hard_text", split_col: str = "split", order_col: str | None = "loaded_at", *, train: str = "train", words: int = 5, threshold: float = 0.8, miss: float = 1e-5) -> DataFrame:
@@ -137,7 +139,7 @@ def cross_split_overlaps(rows: DataFrame, id_col: str = "id", text_col: str = "h
     Records of one id are one record, the latest.  A record with null id, null split, null or empty text or
     fewer than `words` words overlaps with none.  Splits are compared trimmed and in lower case; every
     split but `train` is an evaluation split.  Columns besides those named are ignored.  Copies are compared once
-    and come back as their ids; an empty table gives no rows.  miss: see the module; it holds for the blocks and for the radius."""
+    and come back as their ids; an empty table gives no rows.  miss: see the module; it holds for the blocks and for the radius, and 0 gives every pair."""
     at = F.col(order_col) if order_col else None
     one = one_per_id(rows, id_col, {"side": split_name(F.col(split_col)) == train, "text": F.col(text_col)}, at).where("side is not null")
     docs = stored(_printed(one, words, tables(threshold, miss)).withColumn("number", F.monotonically_increasing_id()), "prints")
@@ -146,10 +148,21 @@ def cross_split_overlaps(rows: DataFrame, id_col: str = "id", text_col: str = "h
     reps = ids.groupBy("side", "k1", "k2").agg(F.min("number").alias("rep"))
     copies = stored(ids.join(reps, ["side", "k1", "k2"]).where("number <> rep").select("number", "rep", "id"), "copies")
     sets = docs.join(copies.select("number"), "number", "left_anti")
-    pairs = stored(_candidates(sets.select("side", "number", "code", "blocks"), radius(threshold, miss)), "pairs")
-    text = docs.select(F.col("number").alias("n"), "id", "text")
-    a, b = text.select(F.col("n").alias("e"), F.col("id").alias("eval_id"), F.col("text").alias("ta")), text.select(F.col("n").alias("t"), F.col("id").alias("train_id"), F.col("text").alias("tb"))
-    held = stored(_verified(pairs.join(a, "e").join(b, "t"), words, threshold), "alike")
+    if miss > 0:
+        met, shared = _candidates(sets.select("side", "number", "code", "blocks"), radius(threshold, miss))
+        met = stored(met.distinct(), "met")
+        ends = met.select(F.col("e").alias("number")).unionByName(met.select(F.col("t").alias("number")))
+        wanted = shared.withColumn("open", F.lit(True)).unionByName(ends.withColumn("open", F.lit(False))).groupBy("number").agg(F.max("open").alias("open"))
+        sets = docs.join(wanted, "number")
+    else:
+        met, sets = None, sets.withColumn("open", F.lit(True))
+    sets = stored(with_shingles(sets.select("side", "number", "id", "open", "text"), "text", words).drop("set_key"), "shingles")
+    drop(docs)
+    pairs = _sharing(sets.where("open"), threshold)
+    pairs = stored((pairs if met is None else met.unionByName(pairs)).distinct(), "pairs")
+    a, b = (sets.where(F.col("side") == side).select(F.col("number").alias(number), F.col("id").alias(name), F.col("shingles").alias(held)) for side, number, name, held in ((False, "e", "eval_id", "sa"), (True, "t", "train_id", "sb")))
+    held = pairs.join(a, "e").join(b, "t").select("e", "t", "eval_id", "train_id", likeness(F.col("sa"), F.col("sb")).alias("likeness"))
+    held = stored(held.where(F.col("likeness") >= threshold), "alike")
     twins = copies.select("rep", F.col("id").alias("copy"))
     for number, name in (("e", "eval_id"), ("t", "train_id")):
         again = held.join(twins, held[number] == twins["rep"]).withColumn(name, F.col("copy")).select(held.columns)

@@ -148,3 +148,30 @@ def test_sketch_estimate(spark):
     df = spark.createDataFrame([(a, a, b)], "a array<long>, c array<long>, b array<long>")
     same, part = df.select(bottomk.union_estimate(F.col("a"), F.col("c"), 64), bottomk.union_estimate(F.col("a"), F.col("b"), 64)).first()
     assert same == 1 and 0 <= part <= 1
+
+
+@pytest.mark.parametrize("hot, miss", [(0, 1e-5), (20_000, 0)])
+def test_pairs_of_one_block_are_kept(spark, monkeypatch, hot, miss):
+    """Pairs of a likeness of just 0.75 that share one block only, which is hot, are found; so they are without any block."""
+    monkeypatch.setattr(simhash, "HOT", hot)
+    rng = random.Random(8)
+    texts = [[f"w{rng.randrange(10**9)}" for _ in range(6)] for _ in range(20_000)]
+    (ca, ka), (cb, kb) = (simhash.fingerprints(*textform.shingle_batch([" ".join(t[:n]) for t in texts], 3), simhash.tables(0.75, 1e-5)) for n in (5, 6))
+    single = np.flatnonzero((ka == kb).sum(axis=1) == 1)
+    assert len(single)
+    rows = [r for i in single for r in ((f"a{i}", "train", " ".join(texts[i][:5]), "a", "s", 0, "", ""), (f"b{i}", "dev", " ".join(texts[i]), "a", "s", 0, "", ""))]
+    got = simhash.cross_split_overlaps(spark.createDataFrame(rows, SCHEMA), words=3, threshold=0.75, miss=miss).select("eval_id", "train_id").collect()
+    assert sorted(tuple(r) for r in got) == sorted((f"b{i}", f"a{i}") for i in single)
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_overlaps_by_shingles_equal_brute_force(spark, monkeypatch, seed):
+    """Without blocks, in parts of three sets."""
+    monkeypatch.setattr(simhash, "PART", 3)
+    rows = corpus(seed, 150)
+    s = sets(rows)
+    train = {r[0] for r in rows if r[1].strip().lower() == "train"}
+    for threshold in (0.3, 0.75, 1.0):
+        want = sorted((a, b) for a in s if a not in train for b in s if b in train and jaccard(s[a], s[b]) >= threshold)
+        got = simhash.cross_split_overlaps(spark.createDataFrame(rows + ODD, SCHEMA), words=3, threshold=threshold, miss=0).select("eval_id", "train_id").collect()
+        assert sorted(tuple(r) for r in got) == want
